@@ -1,0 +1,4 @@
+"""Queries of the core operators and the same in SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
