@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import distinctive_terms, layout_duplicates, term_frequency
+from lodestone.llm import distinctive_terms, layout_duplicates, mixture, term_frequency, tokenize
 from lodestone.runtime import table
 
 
@@ -31,7 +31,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return layout_duplicates.layout_groups(table(spark, sf, "docs").where("status = 'ok'"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_residuals, p4_found)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize.encode(table(spark, sf, "documents"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).documents
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).shares
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_residuals, p4_found, p8_ids, p9_mixture, p9_shares)}
 
 _CELLS = r"""with rows as (select doc_id, term, max(coalesce(tf, 0))::bigint as tf from postings
   where doc_id is not null and regexp_matches(term, '[^\s]') group by doc_id, term),
