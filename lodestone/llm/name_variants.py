@@ -256,7 +256,20 @@ def variant_groups(docs: DataFrame, nicknames: DataFrame, author_col: str = "aut
         r = right.select(F.col("key").alias("other"), F.col(by).alias("b"), *on)
         return left.join(both, left[by] == both.a).join(r, ["b", *on]).where("key <> other").select("key", "other", "d")
 
-    close = link(persons, persons, "family", ["given"]).unionByName(link(firms, firms, "name", ["trade", "legal"])).where("key < other")
+    close = link(persons, persons, "family", ["given"]).unionByName(link(firms, firms, "name", ["trade", "legal"])).where("d <= 1")
+    # an error in a given name too short for its list: the same family name, and one error from a given name that is known
+    other = persons.select(F.col("key").alias("other"), F.col("given").alias("other_given"), "family")
+    slips = persons.where(~F.col("given").isin([*given.value])).join(other, "family").where("key <> other and levenshtein(given, other_given, 2) between 0 and 2")
+
+    def verify():
+        def f(batch: pa.RecordBatch) -> dict:
+            found = [(k, o) for k, o, x, y in zip(*(c.to_pylist() for c in batch.columns)) if distance(x, y, 1) <= 1]
+            return {"key": [x[0] for x in found], "other": [x[1] for x in found], "d": [1] * len(found)}
+
+        return f
+
+    close = close.unionByName(map_arrow(slips.select("key", "other", "given", "other_given"), verify, "key string, other string, d int"))
+    close = cut(close.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct(), "close")
     roots = components(close, "key", "other")
     rooted = lambda x: x.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     # spellings that leave something out: joined if what fits them with the fewest errors is one person or firm

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import batch_dedup, distinctive_terms, encoding_repair, layout_duplicates, markup, mixture, name_variants, term_frequency, tokenize
+from lodestone.llm import batch_dedup, boilerplate, distinctive_terms, encoding_repair, layout_duplicates, markup, mixture, name_variants, term_frequency, tokenize
 from lodestone.runtime import table
 
 
@@ -71,7 +71,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).shares
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.residue(table(spark, sf, "documents")).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.without_residue(table(spark, sf, "documents")).select("doc_id", "source", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_kept)}
 
 _CELLS = r"""with rows as (select doc_id, term, max(coalesce(tf, 0))::bigint as tf from postings
   where doc_id is not null and regexp_matches(term, '[^\s]') group by doc_id, term),
