@@ -29,7 +29,7 @@ WORDS, WORD_LINES = 50_000, 8
 #: A document of at most so many characters can be an error page; the share of it that must be one.
 PAGE, SHARE = 1500, 0.5
 
-FIELD = re.compile(r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Za-z_][\w .-]{0,40}%|@@[\w .-]{1,40}@@|#[A-Za-z_][\w .-]{1,40}#|<(?:insert|enter|your|add) [^<>\n]{1,60}>|\[(?:insert|enter|your|add) [^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,40}(?: – | - |: )(?:to be completed|tbd|à compléter|por completar|a completar|auszufüllen)\]|\[[A-Za-z][\w .'/-]{1,40}\]|\{[A-Za-z][\w .-]{1,40}\}|<[A-Z][A-Z_ ]{2,40}>", re.I)
+FIELD = re.compile(r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Za-z_][\w .-]{0,40}%|@@[\w .-]{1,40}@@|#[A-Za-z_][\w .-]{1,40}#|<(?:insert|enter|your|add) [^<>\n]{1,60}>|\[(?:insert|enter|your|add) [^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,40}(?: – | - |: )(?:to be completed|tbd|à compléter|por completar|a completar|auszufüllen)\]|\[(?!(?:PAD|SEP|CLS|MASK|UNK|BOS|EOS|INST)\])[A-Za-z][\w .'/-]{1,40}\]|\{[A-Za-z][\w .-]{1,40}\}|<[A-Z][A-Z_ ]{2,40}>", re.I)
 # A line that speaks of fields, messages or notices (fixed values).
 SPEAKS = re.compile(r"(?i)\b(?:template|placeholder|variable|macro|merge field|mail ?merge|type over|is filled|are filled|set \$\{|volume|vorlage|platzhalter|modèle|modelo|plantilla|copy of)\b|\bthe \[")
 # Forms of address and of parties (fixed values).
@@ -55,7 +55,7 @@ STRONG = re.compile(
 WEAK = re.compile(r"""(?ix)\b(?:try\ again\ later|reload\ the\ page|go\ back|back\ to\ the\ start\ page|moved\ or\ deleted|contact\ the\ (?:share\ owner|administrator)|loading\b|errno|stack\ trace|\w*(?:error|exception)\b|scripts?\b|javascript|cookies|not\ found|denied|forbidden|unavailable|expired|ha\ caducado|expirou|abgelaufen|expiré|indisponible|no\ disponible|indisponível|nicht\ verfügbar|no\ se\ encontró|introuvable|nicht\ gefunden|réessayez|inténtelo|tente\ novamente|checking\ the|try:|on\ port\ \d+|at\ [\w.]+\ port|volver\ al\ inicio|file\ "[^"]+",\ line\ \d+)""")
 # Function words of the languages of the corpus, to tell filler from sentences (fixed values).
 FUNCTION = {*"the a an of in on at to for and or is are was were be been by with from that this it its as not no we they he she you will would can may must if when who der die das und ist sind mit von zu im am den dem ein eine nicht wird für auf le la les un une des du de et est sont dans pour par sur au aux il elle que qui ne pas el los las y es son en con por para se que una lo o os as e é são em no na do da um uma não".split()}
-FOLLOWS = re.compile(r"(?i)^\W*(?:this is|here is|here goes)? ?(?:some )?(?:dummy|placeholder|filler|sample) (?:copy|text|paragraph)\b|^\W*(?:your|insert|add|type|write|enter)(?: your| a short| some)? (?:own )?(?:text|description|content|copy)(?: goes)?(?: in)?(?: this box| here)\b|^\W*(?:texto (?:fictício|de relleno|simulado|de exemplo|de ejemplo|de muestra)|texte (?:factice|d’exemple|de remplissage|provisoire)|ceci est un (?:faux )?texte|blindtext|fülltext|platzhaltertext|beispieltext|dies ist ein (?:blind|beispiel|platzhalter|füll)text|este es un texto de (?:relleno|muestra|ejemplo)|este é um texto (?:fictício|de exemplo))\b|^\W*(?:item|section|chapter|paragraph|step|note|line)\W+\d+\W+.*\b(?:to follow|to come|tbd|to be (?:added|written|completed|supplied))\W*$|^\W*(?:text|content|description)\W+(?:to follow|goes here|to come)\W*$|^\W*(?:coming soon|under construction|your text here|type your text here)\W*$")
+FOLLOWS = re.compile(r"(?i)^\W*(?:this is|here is|here goes)? ?(?:some )?(?:dummy|placeholder|filler|sample) (?:copy|text|paragraph)\b|^\W*(?:your|insert|add|type|write|enter)(?: your| a short| some)? (?:own )?(?:text|description|content|copy)(?: goes)?(?: in)?(?: this box| here)\b|^\W*(?:texto (?:fictício|de relleno|simulado|de exemplo|de ejemplo|de muestra)|texte (?:factice|d’exemple|de remplissage|provisoire)|ceci est un (?:faux )?texte|(?:saisissez|insérez|écrivez|escriba|ingrese|inserte|digite|insira|escreva|geben sie|hier steht|hier kommt)\b.{0,40}\btext[eo]?|blindtext|fülltext|platzhaltertext|beispieltext|dies ist ein (?:blind|beispiel|platzhalter|füll)text|este es un texto de (?:relleno|muestra|ejemplo)|este é um texto (?:fictício|de exemplo))\b|^\W*(?:item|section|chapter|paragraph|step|note|line)\W+\d+\W+.*\b(?:to follow|to come|tbd|to be (?:added|written|completed|supplied))\W*$|^\W*(?:text|content|description)\W+(?:to follow|goes here|to come)\W*$|^\W*(?:coming soon|under construction|your text here|type your text here)\W*$")
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKS = [(re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|net|org|local|[a-z]{2})\b|(?<!\w)/(?:[\w.-]+/)*[\w.-]+|\b\S+@\S+"), "@"), (re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b"), "0"), (re.compile(r"\d[\d.,:]*"), "0")]
 
@@ -133,7 +133,7 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
                 "doc_id": i, "source": source, "field": field, "kind": what, "size": size, "whole": whole,
                 "form": [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for x in forms],
                 "strong": [bool(STRONG.search(x)) for x in text],
-                "address": [bool(ADDRESS.search(x)) for x in text],
+                "address": [len(x) < 160 and bool(ADDRESS.search(x)) for x in text],
                 "speaks": [bool(SPEAKS.search(x)) for x in text],
             }
 
