@@ -1,4 +1,284 @@
-"""Queries of the core operators and the same in SQL."""
+"""Queries of the core operators on the test tables and, where SQL can express them, the same in SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import index, near_duplicates, search
+from lodestone.plans import report
+from lodestone.runtime import table
+
+NOW = 1_775_000_000
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the same text functions in SQL ---------------------------------------------------------
+
+
+def _fold(x: str) -> str:
+    return f"replace(translate(lower({x}), '{T.FOLD_FROM}', '{T.FOLD_TO}'), 'ß', 'ss')"
+
+
+def _words(x: str, pattern: str = T.WORD) -> str:
+    return f"regexp_extract_all({_fold(x)}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def _stem(rel: str, keep: str) -> str:
+    """A select of keep + term from a relation with keep + word."""
+    one = r"regexp_replace(regexp_replace(regexp_replace(word, '^(.*ss)es$', '\1'), '^(.{2,})ies$', '\1y'), '^(.{2,}[^suia])s$', '\1')"
+    two = r"case when regexp_matches(one, '^.+(bb|dd|gg|mm|nn|pp|rr|tt)(ing|ed)$') then regexp_replace(one, '.(ing|ed)$', '') when regexp_matches(one, '^.{3,}(ing|ed)$') then regexp_replace(one, '(ing|ed)$', '') else one end"
+    return f"select {keep}, {two} as term from (select {keep}, {one} as one from ({rel}))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_DOCS = "d as (select distinct * from docs), ok as (select * from d where status = 'ok')"
+_POST = "p as (select distinct kb_id, term, doc_id, tf from postings where trim(term) <> '')"
+
+
+def _terms(x: str, keep: str = "kb_id, doc_id", stop: bool = False, rel: str = "d") -> str:
+    where = "" if stop else f" where word not in ({_STOP})"
+    return _stem(f"select * from (select {keep}, unnest({_words(x)}) as word from {rel}){where}", keep)
+
+
+_BUILT = f"""with {_DOCS}, built as (select kb_id, term, doc_id, sum(w)::int as tf from (
+  select *, 1 as w from ({_terms('text')}) union all select *, 2 as w from ({_terms('rel')})) group by kb_id, term, doc_id)"""
+_RANKED = "row_number() over (partition by kb_id order by {order}) as rank"
+
+
+def _bm25(terms: list[str]) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""{_DOCS}, {_POST}, n as (select kb_id, count(*) as docs, avg(case when ntok > 0 then ntok else 1 end) as avgdl from d group by kb_id),
+hits as (select * from p where term in ({listed})), f as (select kb_id, term, count(*) as df from hits group by kb_id, term),
+scored as (select kb_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score
+  from (select hits.*, df, docs, avgdl, coalesce(case when ntok > 0 then ntok else 1 end, 1) as dl from hits join f using (kb_id, term) join n using (kb_id)
+    left join d using (kb_id, doc_id)) group by kb_id, doc_id)"""
+
+
+def _page(found: str, k: int, order: str = "score desc, rel", more: str = "") -> str:
+    return f"""{more}, total as (select kb_id, count(*) as total from {found} group by kb_id),
+ranked as (select *, {_RANKED.format(order=order)} from {found})
+select kb_id, rank, doc_id, rel, name, ext, mtime, status, round(score, 4) as score, total from ranked join total using (kb_id) where rank <= {k}"""
+
+
+_META = "select kb_id, doc_id, rel, name, ext, mtime, status, score, text from scored join d using (kb_id, doc_id)"
+
+
+def _boosted(terms: list[str], source: str) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    named = _terms("name", "kb_id, doc_id", True)
+    return f"""named as (select kb_id, doc_id, count(distinct term) as n from ({named}) where term in ({listed}) group by kb_id, doc_id),
+boosted as (select * replace (score * case when n = {len(terms)} then 1.6 when n > 0 then 1.15 else 1 end as score) from ({source}) left join named using (kb_id, doc_id))"""
+
+
+# --- index -----------------------------------------------------------------------------------
+
+
+@query(_BUILT + " select * from built")
+def index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return index.postings(index.documents(table(spark, sf, "docs")))
+
+
+@query(_BUILT + " select kb_id, doc_id, sum(tf)::int as ntok from built group by kb_id, doc_id")
+def document_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return index.lengths(index.postings(index.documents(table(spark, sf, "docs"))))
+
+
+@query(f"with {_POST} select kb_id, term, count(*) as df, sum(tf)::bigint as cf from p group by kb_id, term")
+def term_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return index.term_statistics(index.clean_postings(table(spark, sf, "postings")))
+
+
+@query(f"""select doc_id, substring(sha1(rel), 1, 16) as computed_id, sha1(trim(regexp_replace({_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) as content_hash,
+  length(regexp_extract_all(text, '[^\\s\\x{{0085}}\\p{{Z}}\\x{{1C}}-\\x{{1F}}\\x0B]+')) as words from (select distinct * from docs)""")
+def document_keys(spark: SparkSession, sf: str) -> DataFrame:
+    d = index.documents(table(spark, sf, "docs"))
+    return d.select("doc_id", T.doc_id(F.col("rel")).alias("computed_id"), T.content_hash(F.col("text")).alias("content_hash"), T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+_BATCH = "new as (select kb_id, rel, size, mtime, ext, status, author, chash, nwords, text, substring(sha1(rel), 1, 16) as doc_id, arrival_id from arrivals), latest as (select * from new qualify row_number() over (partition by kb_id, doc_id order by arrival_id desc) = 1)"
+
+
+@query("select distinct kb_id, rel, size, mtime from arrivals a where not exists (select 1 from docs d where d.kb_id = a.kb_id and d.rel = a.rel and d.size = a.size and d.mtime = a.mtime)")
+def incremental_changed(spark: SparkSession, sf: str) -> DataFrame:
+    return index.changed(table(spark, sf, "docs"), table(spark, sf, "arrivals").select("kb_id", "rel", "size", "mtime")).distinct()
+
+
+@query(f"with {_DOCS}, {_BATCH} select kb_id, doc_id, rel, mtime, status, nwords from d where not exists (select 1 from latest l where l.kb_id = d.kb_id and l.doc_id = d.doc_id) union all select kb_id, doc_id, rel, mtime, status, nwords from latest")
+def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    cols = ["kb_id", "doc_id", "rel", "mtime", "status", "nwords"]
+    new = table(spark, sf, "arrivals").withColumn("doc_id", T.doc_id(F.col("rel")))
+    return index.upsert(index.documents(table(spark, sf, "docs")).select(*cols), index.newest(new, index.KEY, [F.desc("arrival_id")]).select(*cols))
+
+
+@query(f"with {_DOCS} select kb_id, doc_id, rel from d where kb_id not in (select kb_id from arrivals) or exists (select 1 from arrivals a where a.kb_id = d.kb_id and a.rel = d.rel)")
+def snapshot_keep_only(spark: SparkSession, sf: str) -> DataFrame:
+    return index.keep_only(index.documents(table(spark, sf, "docs")), table(spark, sf, "arrivals")).select("kb_id", "doc_id", "rel")
+
+
+@query(f"with {_DOCS} select kb_id, doc_id from d where kb_id <> (select min(kb_id) from kbs)")
+def snapshot_drop_kb(spark: SparkSession, sf: str) -> DataFrame:
+    first = table(spark, sf, "kbs").agg(F.min("kb_id")).first()[0]
+    return index.drop_kb(index.documents(table(spark, sf, "docs")), first).select("kb_id", "doc_id")
+
+
+# --- search ----------------------------------------------------------------------------------
+
+
+def _search(text: str, limit: int = 10):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return search.search(table(spark, sf, "postings"), table(spark, sf, "docs"), text, limit=limit)
+
+    return run
+
+
+_PHRASE = r"(^|[^\p{L}\p{N}])price[^\p{L}\p{N}]+list([^\p{L}\p{N}]|$)"
+
+
+def _register_searches() -> None:
+    boost = lambda terms, source=_META: "with " + _bm25(terms) + ", " + _boosted(terms, source)
+    out = {
+        "bm25_topk": ("price invoices", boost(["price", "invoice"]) + _page("boosted", 10)),
+        "search_excluded": ("handover -audit", boost(["handover"], f"{_META} where not exists (select 1 from p where p.kb_id = d.kb_id and p.doc_id = d.doc_id and term = 'audit')") + _page("boosted", 10)),
+        "search_filtered": ("contract ext:pdf ext:.docx folder:signed", boost(["contract"], f"{_META} where lower(ext) in ('.pdf', '.docx') and contains({_fold('rel')}, 'signed')") + _page("boosted", 10)),
+        "search_browse": ("ext:md", f"with {_DOCS}, found as (select *, 0.0::double as score from d where lower(ext) = '.md')" + _page("found", 10, "coalesce(mtime, 0) desc, rel")),
+        "search_phrase": (
+            '"price list"',
+            "with " + _bm25(["price", "list"]) + f", cand as (select * from (select *, {_RANKED.format(order='score desc, rel')} from ({_META})) where rank <= 1200), "
+            + _boosted(["price", "list"], f"select * exclude (rank) from cand where regexp_matches(text, '(?i){_PHRASE}')") + _page("boosted", 10),
+        ),
+        "search_not_phrase": (
+            'price -"stock cards"',
+            "with " + _bm25(["price"]) + f", cand as (select * from (select *, {_RANKED.format(order='score desc, rel')} from ({_META} where not exists (select 1 from p where p.kb_id = d.kb_id and p.doc_id = d.doc_id and term in ('stock', 'card')))) where rank <= 1200), "
+            + _boosted(["price"], r"select * exclude (rank) from cand where not regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{L}\p{N}])stock[^\p{L}\p{N}]+cards([^\p{L}\p{N}]|$)')") + _page("boosted", 10),
+        ),
+    }
+    for name, (text, sql) in out.items():
+        QUERIES[name], SQL[name] = _search(text), sql
+
+
+_register_searches()
+
+
+@query()
+def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "docs")
+    q = search.parse('"price list" invoices')
+    page = search.search(table(spark, sf, "postings"), docs, q.raw, limit=5)
+    return search.snippets(page, docs, q).select("kb_id", "rank", "doc_id", "snippet", "parts")
+
+
+# --- report ----------------------------------------------------------------------------------
+
+_TIME = "coalesce(mtime, 0)"
+_PCT = "case when {d} > 0 then round(100.0::double * {n} / {d}, 1) else 0.0 end"
+
+
+def _docs_query(name: str, sql: str, f) -> None:
+    QUERIES[name], SQL[name] = lambda spark, sf: f(table(spark, sf, "docs")), sql
+
+
+_EXACT = f"""x as (select kb_id, chash, count(*) as files, arg_min(nwords, struct_pack(a := -{_TIME}, b := rel)) as words, arg_min(rel, struct_pack(a := -{_TIME}, b := rel)) as newest,
+  round((max({_TIME}) - min({_TIME})) / 31557600.0::double, 1) as spread_years from ok where chash <> '' and nwords >= 5 group by kb_id, chash having count(*) > 1)"""
+_COUNTS = "c as (select kb_id, count(*) as total, count_if(status = 'ok')::bigint as readable, count_if(status = 'unreadable')::bigint as unreadable, count_if(status = 'skipped')::bigint as skipped, sum(case when status = 'ok' then coalesce(nwords, 0) else 0 end)::bigint as words, sum(coalesce(size, 0))::bigint as bytes from d group by kb_id)"
+_AGE = f"({NOW} - {_TIME}) / 31557600.0::double"
+_STALE = f"""s as (select kb_id, count_if({_TIME} > 0 and {_AGE} < 1)::bigint as under1, count_if({_TIME} > 0 and {_AGE} >= 1 and {_AGE} < 3)::bigint as from1to3,
+  count_if({_TIME} > 0 and {_AGE} >= 3 and {_AGE} < 5)::bigint as from3to5, count_if({_TIME} > 0 and {_AGE} >= 5)::bigint as over5, count_if({_TIME} <= 0)::bigint as unknown,
+  {_PCT.format(n=f'count_if({_TIME} > 0 and {_AGE} >= 3)', d='count(*)')} as share_over3 from ok group by kb_id)"""
+_COPIES = f"""m as (select kb_id, chash, doc_id from ok join x using (kb_id, chash) where ok.nwords >= 5), t as (select c.kb_id, coalesce(count(distinct doc_id), 0) as files_involved,
+  {_PCT.format(n='count(distinct doc_id)', d='any_value(readable)')} as share, count(doc_id) - count(distinct chash) as wasted_copies from c left join m using (kb_id) group by c.kb_id)"""
+_RX = r"'(^|[^\p{L}\p{N}])(' || array_to_string(list_transform(phrases, lambda q: array_to_string(regexp_extract_all(lower(q), '[\p{L}\p{N}]+'), '[^\p{L}\p{N}]+')), '|') || ')([^\p{L}\p{N}]|$)'"
+_COVER = f"""i as (select item_key, {_RX} as rx from checklist where coalesce(is_on, true)), v as (select kb_id, item_key, count_if(in_name)::bigint as in_name, count_if(not in_name and in_text)::bigint as in_text,
+  count_if(in_name) > 0 as named, count_if(in_name or in_text) > 0 as found from (select kb_id, item_key, regexp_matches({_fold('rel')}, rx) as in_name, regexp_matches({_fold("coalesce(text, '')")}, rx) as in_text from ok, i) group by kb_id, item_key)"""
+
+
+def _share(key: str, source: str, n: int) -> str:
+    return f"""select kb_id, rank, key, files, share from (select *, row_number() over (partition by kb_id order by files desc, key) as rank from (
+  select *, {_PCT.format(n='files', d='sum(files) over (partition by kb_id)')} as share from (select kb_id, {key} as key, count(*) as files from {source} group by kb_id, key))) where rank <= {n}"""
+
+
+_FOLDER = "case when folder <> '' then split_part(folder, '/', 1) else '(top level)' end"
+_NOBODY = ", ".join(f"'{x}'" for x in report.NO_AUTHOR)
+_docs_query("stats_by_status", f"with {_DOCS} select kb_id, status, count(*) as files, sum(coalesce(size, 0))::bigint as bytes, sum(coalesce(nwords, 0))::bigint as words from d group by kb_id, status", report.statistics)
+_docs_query("report_counts", f"with {_DOCS}, {_COUNTS} select * from c", report.counts)
+_docs_query("exact_duplicate_groups", f"with {_DOCS}, {_EXACT} select * from x", report.exact_groups)
+_docs_query("exact_duplicate_members", f"with {_DOCS}, {_EXACT} select kb_id, chash, doc_id, rel from ok join x using (kb_id, chash) where ok.nwords >= 5", report.exact_members)
+_docs_query("duplicate_totals", f"with {_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES} select * from t", report.duplicate_totals)
+_docs_query("staleness_buckets", f"with {_DOCS}, {_STALE} select * from s", lambda d: report.staleness(d, NOW))
+_docs_query("oldest_files", f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by mtime, rel) as rank, doc_id, rel, round(({NOW} - mtime) / 31557600.0::double, 1) as years from ok where {_TIME} > 0 qualify rank <= 12", lambda d: report.oldest(d, NOW))
+_docs_query("thin_files", f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by nwords, rel) as rank, doc_id, rel, nwords from ok where nwords < 25 qualify rank <= 24", report.thin)
+for _by, _default in (("reason", "no reason recorded"), ("ext", "(no extension)"), ("folder", "(top level)")):
+    _key = f"case when {_by} <> '' then {_by} else '{_default}' end"
+    _docs_query(f"unreadable_by_{_by}", f"""with {_DOCS} select *, {_PCT.format(n='files', d='sum(files) over (partition by kb_id)')} as share from (select kb_id, {_key} as key, count(*) as files,
+  sum(coalesce(size, 0))::bigint as bytes, list_sort(list(rel))[1:5] as examples from d where status = 'unreadable' group by kb_id, key)""", lambda d, by=_by: report.unread(d, by))
+_docs_query("skipped_by_ext", f"""with {_DOCS} select kb_id, rank, key, files from ({_share("case when ext <> '' then ext else '(no extension)' end", "(select * from d where status = 'skipped')", 12)})""", report.skipped)
+_docs_query("concentration_folder", f"with {_DOCS} {_share(_FOLDER, 'ok', 8)}", lambda d: report.concentration(d, "folder"))
+_docs_query("concentration_type", f"""with {_DOCS} {_share("case when ext <> '' then ext else '(no extension)' end", 'ok', 8)}""", lambda d: report.concentration(d, "type"))
+_docs_query("concentration_author", f"""with {_DOCS} {_share("trim(author)", f"(select * from ok where trim(author) <> '' and {_fold('trim(author)')} not in ({_NOBODY}))", 8)}""", lambda d: report.concentration(d, "author"))
+
+_NAME = r"regexp_replace(name, '\.[A-Za-z0-9]{1,6}$', '')"
+_NAMES = rf"list_filter(list_distinct({_words(_NAME, T.PLAIN_WORD)}), lambda t: length(t) >= 4 and not regexp_matches(t, '^\p{{N}}+$'))"
+_REFS = f"""r as (select kb_id, doc_id, rel, coalesce(size, 0) as size, {_NAMES} as tokens, list_distinct({_words('text', T.PLAIN_WORD)}) as said from ok),
+nt as (select kb_id, doc_id, unnest(tokens) as token from r), st as (select kb_id, doc_id, unnest(said) as token from r),
+held as (select kb_id, token, count(*) as held from st group by kb_id, token), most as (select kb_id, greatest(2.0, 0.2 * count(*)) as most from r group by kb_id),
+u as (select nt.kb_id, nt.doc_id, list(token) as needed from nt left join held using (kb_id, token) join most using (kb_id) where coalesce(held, 0) <= most group by nt.kb_id, nt.doc_id),
+ref as (select distinct u.kb_id, u.doc_id from u join r on r.kb_id = u.kb_id and r.doc_id <> u.doc_id and list_has_all(r.said, u.needed))"""
+_docs_query("unreferenced_files", f"""with {_DOCS}, {_REFS} select r.kb_id, r.doc_id, rel, size, case when len(tokens) = 0 then 'unjudged' when ref.doc_id is not null then 'referenced' else 'unreferenced' end as verdict
+  from r left join ref on ref.kb_id = r.kb_id and ref.doc_id = r.doc_id""", report.references)
+
+
+@query(f"with {_DOCS}, {_COVER} select * from v")
+def coverage_by_item(spark: SparkSession, sf: str) -> DataFrame:
+    return report.coverage(table(spark, sf, "docs"), table(spark, sf, "checklist"))
+
+
+@query(f"""with {_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES}, {_STALE}, {_COVER}, o as (select kb_id, share as top from ({_share(_FOLDER, 'ok', 1)})),
+k as (select kb_id, sum(case when named then 1.0 when found then 0.5 else 0.0 end)::double as credit from v group by kb_id), n as (select count(*) as items from checklist where coalesce(is_on, true)),
+z as (select c.kb_id, case when readable + unreadable > 0 then {_PCT.format(n='readable', d='(readable + unreadable)')} end as readable, case when readable > 0 then round(100.0 - share_over3, 1) end as current,
+  case when readable > 0 then round(100.0 - t.share, 1) end as "unique", case when readable > 0 then {_PCT.format(n='credit', d='items')} end as covered,
+  case when readable > 0 then round(case when top <= 35 then 100.0 else greatest(0.0, 100.0 * (100.0 - top) / 65.0) end, 1) end as spread
+  from c left join s using (kb_id) left join t using (kb_id) left join k using (kb_id) left join o using (kb_id), n)
+select *, round(coalesce(round(readable / 100.0 * 25, 1), 0) + coalesce(round(current / 100.0 * 20, 1), 0) + coalesce(round("unique" / 100.0 * 15, 1), 0) + coalesce(round(covered / 100.0 * 25, 1), 0) + coalesce(round(spread / 100.0 * 15, 1), 0), 1) as points,
+  round((case when readable is not null then 25 else 0 end + case when current is not null then 75 else 0 end)::double, 1) as out_of from z""")
+def readiness_score(spark: SparkSession, sf: str) -> DataFrame:
+    return report.score(table(spark, sf, "docs"), table(spark, sf, "checklist"), NOW)
+
+
+_NEAR = f"""with {_DOCS}, pool as (select distinct on (kb_id, coalesce(chash, doc_id)) kb_id, doc_id, text from ok where nwords >= 30 order by kb_id, coalesce(chash, doc_id), doc_id),
+w as (select kb_id, doc_id, {_words('text', T.PLAIN_WORD)} as w from pool), g as (select distinct kb_id, doc_id, array_to_string(w[i:i+4], ' ') as run from (select *, unnest(range(1, len(w) - 3)) as i from w)),
+z as (select kb_id, doc_id, count(*) as n from g group by kb_id, doc_id having count(*) >= 8), q as (select a.kb_id, a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.kb_id = b.kb_id and a.run = b.run and a.doc_id < b.doc_id group by all),
+lim as (select kb_id, coalesce(max(near_threshold), 0.55) as t from kbs group by kb_id)
+select q.kb_id, a, b, round(k / (x.n + y.n - k)::double, 4) as similarity from q join z x on x.kb_id = q.kb_id and x.doc_id = a join z y on y.kb_id = q.kb_id and y.doc_id = b left join lim on lim.kb_id = q.kb_id where k / (x.n + y.n - k)::double >= coalesce(t, 0.55)"""
+
+
+@query(_NEAR)
+def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.pairs(table(spark, sf, "docs"), table(spark, sf, "kbs"))
+
+
+@query()
+def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf, "docs"), table(spark, sf, "kbs"))
+
+
+@query()
+def near_duplicate_candidates_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.candidate_pairs_lsh(table(spark, sf, "docs"))
+
+
+@query(f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by {_TIME} desc, rel) as rank, doc_id, rel, status, coalesce(reason, '') as reason from d where status = 'unreadable' qualify rank <= 300")
+def list_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = index.documents(table(spark, sf, "docs")).where("status = 'unreadable'").withColumn("reason", F.coalesce("reason", F.lit("")))
+    return report._first(rows, 300, [F.desc(F.coalesce("mtime", F.lit(0))), "rel"]).select("kb_id", "rank", "doc_id", "rel", "status", "reason")
