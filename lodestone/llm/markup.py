@@ -368,8 +368,9 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
                 paragraph.append(line)
                 continue
             close()
-            if listing is None:
-                listing = tree.add("numbered" if m[3] or m[4] else "list", at)
+            kind = "numbered" if m[3] or m[4] else "list"
+            if listing is None or not m[5] and tree.nodes[listing].kind != kind:
+                listing = tree.add(kind, at)
             tree.add("text", tree.add("item", listing, level=len(m[1]) // 2), inline(m[6]))
             continue
         if not s or re.fullmatch(r"\*{3,}|-{3,}|_{3,}|={3,}", s):
@@ -543,7 +544,7 @@ def trained() -> Model:
 def render(tree: Tree, keep: list[float], threshold: float = 0.5) -> list[tuple[str, int, str]]:
     """Blocks (kind, level, text) of the nodes that are content, in order."""
     out: list[tuple[str, int, str]] = []
-    nodes = tree.nodes
+    nodes, numbers = tree.nodes, {}
 
     def gather(i: int) -> str:
         x = nodes[i]
@@ -561,8 +562,8 @@ def render(tree: Tree, keep: list[float], threshold: float = 0.5) -> list[tuple[
             inner = [gather(c) for c in x.children]
             text = "\t".join(inner) if x.kind == "row" else " ".join(" ".join(inner).split())
             if x.kind == "item":
-                ordered = nodes[x.parent].kind == "numbered"
-                out.append(("item", nodes[x.parent].children.index(i) + 1 if ordered and len(nodes[x.parent].children) < 2000 else 0, text))
+                places = numbers.setdefault(x.parent, {c: k for k, c in enumerate(nodes[x.parent].children, 1)}) if nodes[x.parent].kind == "numbered" else {}
+                out.append(("item", places.get(i, 0), text))
             elif text.strip():
                 out.append((x.kind, x.level, text))
             continue
