@@ -132,7 +132,7 @@ class Tree:
 
 # Inline constructs and what stays of them (the kept group).
 _INLINE = [
-    (re.compile(r"\\(?:documentclass|usepackage|begin|end|label|ref|cite|pagestyle|vspace|hspace|includegraphics)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\{[^{}\n]*\})?"), ""),
+    (re.compile(r"~?\\(?:documentclass|usepackage|begin|end|label|ref|cite|pagestyle|vspace|hspace|includegraphics)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\{[^{}\n]*\})?"), ""),
     (re.compile(r"\\euro\s*(?:\{\})?"), "€"),
     (re.compile(r"!?\[([^\]\[\n]*)\]\([^()\s]*(?: \"[^\"\n]*\")?\)"), r"\1"),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
