@@ -54,7 +54,7 @@ def content_hash_unicode(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs without white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\u0085   -     　\u001C-\u001F]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\u0085\p{Z}\u001C-\u001F]+")), F.lit(0))
 
 
 def doc_id(rel: Column) -> Column:
@@ -63,7 +63,7 @@ def doc_id(rel: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Line ends, spaces and blank lines made even; paragraphs stay. Canonical composition is the reader's part."""
-    out = F.regexp_replace(F.replace(F.regexp_replace(text, "\r\n|\r", "\n"), F.lit("\x00"), F.lit(" ")), "[ \t   ]+", " ")
+    out = F.regexp_replace(F.replace(F.regexp_replace(text, "\r\n|\r", "\n"), F.lit("\x00"), F.lit(" ")), r"[ \t\u00a0\u2007\u202f]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, " *\n *", "\n"), "\n{3,}", "\n\n"))
 
 
@@ -76,7 +76,7 @@ def strip_markup(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)</(p|div|br|li|tr|h[1-6]|section|article)\s*>", "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)<br\s*/?>", "\n"), r"<[^>]{0,4000}>", " ")
-    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+    for name, sign in (("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
     return tidy(out)
 

@@ -218,6 +218,29 @@ def score(docs: DataFrame, checklist: DataFrame, now: int, near: DataFrame | Non
     return rows.select("*", F.round(points, 1).alias("points"), F.round(out_of, 1).alias("out_of"))
 
 
+def findings(docs: DataFrame, checklist: DataFrame, now: int, near: DataFrame | None = None) -> DataFrame:
+    """(kb_id, rank, kind, files, severity): what is worth saying of a knowledge base, worst first.
+
+    unreadable: of all files; copies and stale (over 3 years): of readable ones; missing: items of the checklist
+    no file has; piled: the largest folder from 50 % on; unreferenced: of files whose name can be judged.
+    severity is that share in percent. A stopped scan is for the caller to say first (kbs.is_partial)."""
+    n = counts(docs)
+    refs = references(docs).groupBy("kb_id").agg(F.count_if(F.col("verdict") == "unreferenced").alias("files"), F.count_if(F.col("verdict") != "unjudged").alias("d"))
+    cover = coverage(docs, checklist).groupBy("kb_id").agg(F.count_if(~F.col("found")).alias("files"), F.count("*").alias("d"))
+    top = concentration(docs, "folder", 1)
+    old = staleness(docs, now)
+    rows = [
+        n.select("kb_id", F.lit("unreadable").alias("kind"), F.col("unreadable").alias("files"), T.percent(F.col("unreadable"), F.col("total")).alias("severity")),
+        duplicate_totals(docs, near).select("kb_id", F.lit("copies"), "files_involved", "share"),
+        old.select("kb_id", F.lit("stale"), F.col("from3to5") + F.col("over5"), "share_over3"),
+        cover.select("kb_id", F.lit("missing"), "files", T.percent(F.col("files"), F.col("d"))),
+        top.where("share >= 50").select("kb_id", F.lit("piled"), "files", "share"),
+        refs.select("kb_id", F.lit("unreferenced"), "files", T.percent(F.col("files"), F.col("d"))),
+    ]
+    every = reduce(lambda a, b: a.union(b), rows).where("files > 0")
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("severity"), "kind"))).select("kb_id", "rank", "kind", "files", "severity")
+
+
 def markdown(tables: dict[str, DataFrame], rows: int = 100) -> str:
     """A report of small tables (a row for each knowledge base, or a ranking) as Markdown; at most `rows` rows of each are read."""
     out = []

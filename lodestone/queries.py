@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -282,3 +282,53 @@ def near_duplicate_candidates_lsh(spark: SparkSession, sf: str) -> DataFrame:
 def list_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows = index.documents(table(spark, sf, "docs")).where("status = 'unreadable'").withColumn("reason", F.coalesce("reason", F.lit("")))
     return report._first(rows, 300, [F.desc(F.coalesce("mtime", F.lit(0))), "rel"]).select("kb_id", "rank", "doc_id", "rel", "status", "reason")
+
+
+_SCORE_PARTS = f"{_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES}, {_STALE}, {_COVER}, {_REFS}"
+
+
+@query(f"""with {_SCORE_PARTS}, judged as (select r.kb_id, case when len(tokens) = 0 then 'unjudged' when ref.doc_id is not null then 'referenced' else 'unreferenced' end as verdict
+  from r left join ref on ref.kb_id = r.kb_id and ref.doc_id = r.doc_id),
+e as (select kb_id, 'unreadable' as kind, unreadable as files, {_PCT.format(n='unreadable', d='total')} as severity from c union all select kb_id, 'copies', files_involved, share from t
+  union all select kb_id, 'stale', from3to5 + over5, share_over3 from s
+  union all select kb_id, 'missing', count_if(not found)::bigint, {_PCT.format(n='count_if(not found)', d='count(*)')} from v group by kb_id
+  union all select kb_id, 'piled', files, share from ({_share(_FOLDER, 'ok', 1)}) where share >= 50
+  union all select kb_id, 'unreferenced', count_if(verdict = 'unreferenced')::bigint, {_PCT.format(n="count_if(verdict = 'unreferenced')", d="count_if(verdict <> 'unjudged')")} from judged group by kb_id)
+select kb_id, row_number() over (partition by kb_id order by severity desc, kind) as rank, kind, files, severity from e where files > 0""")
+def findings_by_severity(spark: SparkSession, sf: str) -> DataFrame:
+    return report.findings(table(spark, sf, "docs"), table(spark, sf, "checklist"), NOW)
+
+
+@query(f"""with {_DOCS} select k.kb_id, k.name, coalesce(near_threshold, 0.55) as threshold, coalesce(is_partial, false) as is_partial, last_scan, count(doc_id) as files,
+  row_number() over (order by last_scan desc nulls last, k.kb_id) as rank from kbs k left join d using (kb_id) group by k.kb_id, k.name, near_threshold, is_partial, last_scan""")
+def kb_overview(spark: SparkSession, sf: str) -> DataFrame:
+    files = index.documents(table(spark, sf, "docs")).groupBy("kb_id").agg(F.count("*").alias("files"))
+    rows = table(spark, sf, "kbs").join(files, "kb_id", "left").select("kb_id", "name", F.coalesce("near_threshold", F.lit(0.55)).alias("threshold"), F.coalesce("is_partial", F.lit(False)).alias("is_partial"), "last_scan", F.coalesce("files", F.lit(0)).alias("files"))
+    # a row for each knowledge base, so one partition holds them
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("last_scan"), "kb_id")))
+
+
+@query(f"with {_DOCS} select d.kb_id, d.doc_id, rel, left(text, 400000) as text from d join (select kb_id, min(doc_id) as doc_id from d group by kb_id) using (kb_id, doc_id)")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    d = index.documents(table(spark, sf, "docs"))
+    first = d.groupBy("kb_id").agg(F.min("doc_id").alias("doc_id"))
+    return d.join(first, index.KEY, "left_semi").select("kb_id", "doc_id", "rel", F.substring("text", 1, 400_000).alias("text"))
+
+
+def _html_sql() -> str:
+    x = "text"
+    for name in ("script", "style", "head"):
+        x = f"regexp_replace({x}, '(?is)<{name}\\b.*?</{name}>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?i)</(p|div|br|li|tr|h[1-6]|section|article)\\s*>', chr(10), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in (("nbsp", "\xa0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    x = f"regexp_replace(replace(regexp_replace({x}, '\\r\\n|\\r', chr(10), 'g'), chr(0), ' '), '[ \\t\\x{{A0}}\\x{{2007}}\\x{{202F}}]+', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"select distinct kb_id, doc_id, {_html_sql()} as text from docs where status = 'ok' and lower(ext) in ('.html', '.htm')")
+def html_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    d = index.documents(table(spark, sf, "docs")).where("status = 'ok' and lower(ext) in ('.html', '.htm')")
+    return d.select("kb_id", "doc_id", T.strip_markup(F.col("text")).alias("text"))

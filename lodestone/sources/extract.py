@@ -32,7 +32,7 @@ def decode(data: bytes) -> str:
 
 def tidy(text: str) -> str:
     text = unicodedata.normalize("NFC", re.sub("\r\n?", "\n", text).replace("\0", " "))
-    text = re.sub(" *\n *", "\n", re.sub("[ \t   ]+", " ", text))
+    text = re.sub(" *\n *", "\n", re.sub("[ \t\u00a0\u2007\u202f]+", " ", text))
     return re.sub("\n{3,}", "\n\n", text).strip()[:LONGEST]
 
 
