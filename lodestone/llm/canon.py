@@ -52,7 +52,7 @@ def record_form(text: str) -> str | None:
     Notations: JSON objects (or an array of them), delimited tables with a header, lines of
     name and value. None if the text is none of these. Records keep their order.
     """
-    text = text.strip("﻿ \t\r\n\x0b\x0c")
+    text = text.strip("\ufeff \t\r\n\x0b\x0c")
     if not text:
         return None
     if text[0] in "{[":
@@ -62,7 +62,7 @@ def record_form(text: str) -> str | None:
             value = None
         if isinstance(value, dict) or isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
             return "json" + repr(_json_form(value if isinstance(value, list) else [value]))
-    lines = [x for x in re.split(r"[\r\n\x0b\x0c\x85  ]+", text) if x.strip()]
+    lines = [x for x in re.split(r"[\r\n\x0b\x0c\x85\u2028\u2029]+", text) if x.strip()]
     if len(lines) < 2:
         return None
     head = lines[0]

@@ -284,7 +284,7 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
             tree.add("text", tree.add("cell", r), " ".join(inline(c).split()))
 
     while i < len(lines):
-        line = lines[i].rstrip("\r").lstrip("﻿") if i == 0 else lines[i].rstrip("\r")
+        line = lines[i].rstrip("\r").lstrip("\ufeff") if i == 0 else lines[i].rstrip("\r")
         i += 1
         s = line.strip()
         if _FENCE.fullmatch(line) and any(_UNFENCE.fullmatch(x.rstrip("\r")) for x in lines[i:]):
