@@ -199,9 +199,10 @@ _STALE = f"""s as (select kb_id, count_if({_TIME} > 0 and {_AGE} < 1)::bigint as
   {_PCT.format(n=f'count_if({_TIME} > 0 and {_AGE} >= 3)', d='count(*)')} as share_over3 from ok group by kb_id)"""
 _COPIES = f"""m as (select kb_id, chash, doc_id from ok join x using (kb_id, chash) where ok.nwords >= 5), t as (select c.kb_id, coalesce(count(distinct doc_id), 0) as files_involved,
   {_PCT.format(n='count(distinct doc_id)', d='any_value(readable)')} as share, count(doc_id) - count(distinct chash) as wasted_copies from c left join m using (kb_id) group by c.kb_id)"""
-_RX = r"'(^|[^\p{L}\p{N}])(' || array_to_string(list_transform(phrases, lambda q: array_to_string(regexp_extract_all(lower(q), '[\p{L}\p{N}]+'), '[^\p{L}\p{N}]+')), '|') || ')([^\p{L}\p{N}]|$)'"
-_COVER = f"""i as (select item_key, {_RX} as rx from checklist where coalesce(is_on, true)), v as materialized (select kb_id, item_key, count_if(in_name)::bigint as in_name, count_if(not in_name and in_text)::bigint as in_text,
-  count_if(in_name) > 0 as named, count_if(in_name or in_text) > 0 as found from (select kb_id, item_key, regexp_matches({_fold('rel')}, rx) as in_name, regexp_matches({_fold("coalesce(text, '')")}, rx) as in_text from ok, i) group by kb_id, item_key)"""
+_PLAIN = lambda x: f"' ' || regexp_replace({_fold(x)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+_COVER = f"""i as (select item_key, list_filter(list_transform(phrases, lambda q: ' ' || trim(regexp_replace(lower(q), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '), lambda q: length(q) > 2) as ps from checklist where coalesce(is_on, true)),
+w as materialized (select kb_id, {_PLAIN('rel')} as rel, {_PLAIN("coalesce(text, '')")} as text from ok), v as materialized (select kb_id, item_key, count_if(in_name)::bigint as in_name, count_if(not in_name and in_text)::bigint as in_text,
+  count_if(in_name) > 0 as named, count_if(in_name or in_text) > 0 as found from (select kb_id, item_key, len(list_filter(ps, lambda q: contains(rel, q))) > 0 as in_name, len(list_filter(ps, lambda q: contains(text, q))) > 0 as in_text from w, i where len(ps) > 0) group by kb_id, item_key)"""
 
 
 def _share(key: str, source: str, n: int) -> str:
