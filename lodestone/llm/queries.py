@@ -39,6 +39,14 @@ def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return encoding_repair.garbled(table(spark, sf, "docs"))
 
 
+def p4_same_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of letters keys alone, which SQL can express."""
+    from pyspark.sql import functions as F
+
+    keys = layout_duplicates.canonical_keys(table(spark, sf, "docs").where("status = 'ok'")).where(f"kind = {layout_duplicates.LETTERS}")
+    return layout_duplicates.adjacent_copies(keys).select("first_id", F.col("id").alias("doc_id"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.cleaned(table(spark, sf, "docs")).select("doc_id").distinct()
 
@@ -79,14 +87,26 @@ def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.without_residue(table(spark, sf, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p4_same_letters, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_kept)}
 
 _CELLS = r"""with rows as (select doc_id, term, max(coalesce(tf, 0))::bigint as tf from postings
   where doc_id is not null and regexp_matches(term, '[^\s]') group by doc_id, term),
 terms as (select term, count(*) as n_docs, sum(tf)::bigint as term_total from rows group by term),
 sums as (select doc_id, sum(tf)::bigint as doc_total from rows group by doc_id)"""
 
+_FOLD = "nfc_normalize(replace(translate(lower(nfc_normalize(text)), 'ςſϐϑϕϖϰϱϵ', 'σsβθφπκρε'), 'ß', 'ss'))"
+_LETTERS = f"regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
 SQL = {
+    "p4_same_letters": f"""with k as (select distinct doc_id, {_LETTERS} as key from docs where status = 'ok'), g as (select key, min(doc_id) as first_id from k where key <> '' group by key)
+select first_id, doc_id from k join g using (key) where doc_id <> first_id""",
+    "p6_found": f"""with r as (select -1 as ord, 'd' || doc_id as sid, text from docs where text <> '' union all select arrival_id, 'a' || arrival_id, text from arrivals where text <> ''),
+f as (select distinct ord, sid, {_LETTERS} as key, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') as w from r),
+same as (select a.ord from f a where a.ord >= 0 and a.key <> '' and exists (select 1 from f b where b.key = a.key and b.ord < a.ord)),
+g as (select distinct ord, sid, array_to_string(w[i:i+4], ' ') as run from (select *, unnest(range(1, len(w) - 3)) as i from f)),
+n as (select sid, count(*) as n from g group by sid),
+near as (select a.ord from g a join g b on a.run = b.run and a.ord >= 0 and b.ord < a.ord join n x on x.sid = a.sid join n y on y.sid = b.sid group by a.ord, a.sid, b.sid, x.n, y.n having count(*) >= 0.55 * (x.n + y.n - count(*)) - 1e-9)
+select ord as arrival_id from same union select ord from near""",
     "p1_counts": _CELLS
     + """ select term, term_total as occurrences, n_docs,
   case when n_docs < 3 then 'rare' when n_docs > 0.25 * (select count(*) from sums) then 'common' end as mark from terms""",
