@@ -29,12 +29,13 @@ def residuals(postings: DataFrame, docs: DataFrame, min_weight: float | None = N
 
     With min_weight only rows of at least that weight in terms of at least min_docs documents are
     made; as n_docs >= min_docs bounds the weight, most rows fall before they meet their term's
-    margin. The contingency table is shuffled once, by document, and each margin is joined to it
-    on that partitioning; margins of the terms in most documents are broadcast, at most 4096, so no
-    hot term is a key of the join.
+    margin. Rows written twice are folded before the first shuffle, whose key is the pair, so neither a
+    hot document nor a hot term gathers in one task; margins of the terms in most documents are
+    broadcast, at most 4096, so no hot term is a key of a join, and the partition of a hot document is
+    split by AQE's skew join, the other side being one row.
     """
     rows = valid_rows(postings).select("doc_id", "term", F.coalesce("tf", F.lit(0)).cast("long").alias("tf"))
-    table = cut(rows.repartition("doc_id").groupBy("doc_id", "term").agg(F.max("tf").alias("tf")), "table")
+    table = cut(rows.groupBy("doc_id", "term").agg(F.max("tf").alias("tf")), "table")
     terms = cut(table.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("term_total")), "terms")
     grand = terms.agg(F.sum("term_total")).first()[0] or 0
     n_all = postings.agg(F.count_distinct("doc_id")).first()[0]
