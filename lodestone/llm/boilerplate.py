@@ -56,6 +56,8 @@ WEAK = re.compile(r"""(?ix)\b(?:try\ again\ later|reload\ the\ page|go\ back|bac
 # Function words of the languages of the corpus, to tell filler from sentences (fixed values).
 FUNCTION = {*"the a an of in on at to for and or is are was were be been by with from that this it its as not no we they he she you will would can may must if when who der die das und ist sind mit von zu im am den dem ein eine nicht wird für auf le la les un une des du de et est sont dans pour par sur au aux il elle que qui ne pas el los las y es son en con por para se que una lo o os as e é são em no na do da um uma não".split()}
 FOLLOWS = re.compile(r"(?i)^\W*(?:this is|here is|here goes)? ?(?:some )?(?:dummy|placeholder|filler|sample) (?:copy|text|paragraph)\b|^\W*(?:your|insert|add|type|write|enter)(?: your| a short| some)? (?:own )?(?:text|description|content|copy)(?: goes)?(?: in)?(?: this box| here)\b|^\W*(?:texto (?:fictício|de relleno|simulado|de exemplo|de ejemplo|de muestra)|texte (?:factice|d’exemple|de remplissage|provisoire)|ceci est un (?:faux )?texte|(?:saisissez|insérez|écrivez|escriba|ingrese|inserte|digite|insira|escreva|geben sie|hier steht|hier kommt)\b.{0,40}\btext[eo]?|blindtext|fülltext|platzhaltertext|beispieltext|dies ist ein (?:blind|beispiel|platzhalter|füll)text|este es un texto de (?:relleno|muestra|ejemplo)|este é um texto (?:fictício|de exemplo))\b|^\W*(?:item|section|chapter|paragraph|step|note|line)\W+\d+\W+.*\b(?:to follow|to come|tbd|to be (?:added|written|completed|supplied))\W*$|^\W*(?:text|content|description)\W+(?:to follow|goes here|to come)\W*$|^\W*(?:coming soon|under construction|your text here|type your text here)\W*$")
+# A line of links, as pages have above their text.
+LINKS = re.compile(r"(?:[^|]{1,40}\|){2,}[^|]{1,40}|[\w’'-]+(?: {2,}[\w’'-]+(?: [\w’'-]+)?){2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKS = [(re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|net|org|local|[a-z]{2})\b|(?<!\w)/(?:[\w.-]+/)*[\w.-]+|\b\S+@\S+"), "@"), (re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b"), "0"), (re.compile(r"\d[\d.,:]*"), "0")]
 
@@ -76,7 +78,7 @@ def filler(line: str) -> bool:
 
 def candidate_lines(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(doc_id, source, line, field, kind, size, whole): lines that can be residue; size is the line's share
-    of the text in characters, whole the text's characters without white space at the ends of lines."""
+    of the text in characters, whole the text's characters without lines of links and white space at the ends of lines."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null and text <> ''")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -87,7 +89,7 @@ def candidate_lines(docs: DataFrame, id_col: str, text_col: str, source_col: str
             out = []
             for i, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = [x for x in map(str.strip, text.split("\n")) if x]
-                whole = sum(map(len, lines))
+                whole = sum(len(x) for x in lines if not LINKS.fullmatch(x))
                 for x in lines:
                     found = what = None
                     if quick.search(x) and (m := FIELD.search(x)) and len(x) < 400:
