@@ -5,7 +5,7 @@ adjacent pair of all proposals at once; only words with a pair the merges wouldn
 side are merged exactly. Words are those of the vocabulary's split pattern, so a text's tokens are
 its words' tokens in order, and a task does the work of a word once.
 
-Defined cases: a null text has null ids, an empty one an empty list; strings that look like special
+Defined cases: a null text has an empty list of ids, as has an empty one, so every row has a list; strings that look like special
 tokens are ordinary text; texts are encoded whole; a lone surrogate, which UTF-8 can't hold, can't
 occur in a Spark string. An empty table gives an empty result; extra columns are kept out of it.
 """
@@ -217,15 +217,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
         def f(batch: pa.RecordBatch) -> dict:
             ids, text = batch.columns
             got, sizes = [], [0]
-            null = []
             for at in range(0, len(text), 500):
                 for x in encoder(text[at : at + 500].to_pylist()):
-                    null.append(x is None)
                     got.append(np.array(x or (), np.int32))
                     sizes.append(len(got[-1]))
-            offsets = np.cumsum(sizes, dtype=np.int64)
-            marked = pa.array(offsets, pa.int32(), mask=np.array([*null, False]))
-            return {"id": ids, "ids": pa.ListArray.from_arrays(marked, pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))}
+            offsets = pa.array(np.cumsum(sizes, dtype=np.int64), pa.int32())
+            return {"id": ids, "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32)))}
 
         return f
 
