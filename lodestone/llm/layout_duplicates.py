@@ -79,7 +79,7 @@ def adjacent_copies(keys: DataFrame) -> DataFrame:
     edges = spark.sparkContext.broadcast(whole)
 
     def make():
-        last: list = [None, None]  # the key and first id of the run at the end of the batch before
+        last: list = [None, None, None]  # key and first id of the run at the end of the batch before, and its piece
 
         def f(batch: pa.RecordBatch) -> dict:
             m, (piece, kind, key, ids) = batch.num_rows, batch.columns
@@ -94,13 +94,16 @@ def adjacent_copies(keys: DataFrame) -> DataFrame:
             if last[0] is not None and (full[0] == last[0]).all():
                 start[0] = False
                 firsts[first == 0] = last[1]
-            last[:] = full[-1].copy(), firsts[-1]
-            for i in np.flatnonzero(start) if edges.value else ():
+            last[:2] = full[-1].copy(), firsts[-1]
+            # a run that began in another piece is the first of its piece
+            begins = np.append(last[2] != full[0, 0], full[1:, 0] != full[:-1, 0])
+            for i in np.flatnonzero(start & begins):
                 if (known := edges.value.get((int(full[i, 1]), full[i, 2:].tobytes()))) is not None:
                     end = np.flatnonzero(start[i + 1 :])
                     firsts[i : i + 1 + end[0] if len(end) else m] = known
                     if not len(end):
                         last[1] = known
+            last[2] = full[-1, 0]
             keep = np.flatnonzero(names != firsts)
             return {"kind": kind.take(pa.array(keep)), "first_id": firsts[keep].tolist(), "id": ids.take(pa.array(keep))}
 
