@@ -289,3 +289,42 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and {*e.oracle_sql()} <= {*e.queries()}
+
+
+def test_settings(tmp_path):
+    from lodestone.plans.knowledge_base import Settings, SettingsStore
+
+    store = SettingsStore(str(tmp_path / "s"))
+    store.save(Settings("a1", "First"))
+    store.patch("b2", name="Second", near_threshold=0.6, weights={"readable": 2, "other": 1})
+    assert [x.kb_id for x in store.all()][0] in ("a1", "b2") and store.get("b2").weights == {"readable": 2.0}
+    for bad in ({"near_threshold": 0.01}, {"near_threshold": 2}, {"weights": {"readable": -1}}, {"weights": {"unique": float("inf")}}):
+        with pytest.raises(ValueError):
+            store.patch("a1", **bad)
+    with pytest.raises(ValueError):
+        store.get("../x")
+    assert store.delete("a1") and not store.delete("a1") and store.get("a1") is None
+
+
+def test_rescan(spark, tmp_path):
+    from lodestone.plans.knowledge_base import Library, unreadable_folders
+
+    root = tmp_path / "share"
+    (root / "sub").mkdir(parents=True)
+    for name, body in {"a.txt": "price list of pipes", "sub/b.txt": "roof manual", "c.png": "x", "d.txt": ""}.items():
+        (root / name).write_text(body)
+    before = {p: p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    library = Library(spark, str(tmp_path / "library"))
+    assert library.rescan(str(root), "k1") == {"ok": 2, "skipped": 1, "unreadable": 1}
+    assert {p: p.read_bytes() for p in root.rglob("*") if p.is_file()} == before
+    found = lambda q: [x.rel for x in search.search(library.read("postings"), library.read("docs"), q).orderBy("rank").collect()]
+    assert found("roof") == ["sub/b.txt"] and found("price") == ["a.txt"]
+    (root / "sub/b.txt").write_text("a wall manual, changed")
+    (root / "a.txt").unlink()
+    (root / "e.txt").write_text("roof beams")
+    assert library.rescan(str(root), "k1") == {"ok": 2, "skipped": 1, "unreadable": 1}
+    assert found("roof") == ["e.txt"] and found("price") == [] and found("wall") == ["sub/b.txt"]
+    assert rows(library.read("postings").select("doc_id", "term", "tf")) == rows(index.postings(library.read("docs")).select("doc_id", "term", "tf"))
+    library.drop("k1")
+    assert library.kbs() == [] and library.read("docs") is None
+    assert unreadable_folders(str(root)) == []
