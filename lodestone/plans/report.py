@@ -169,6 +169,7 @@ def concentration(docs: DataFrame, by: str, n: int = 8) -> DataFrame:
     return _first(per, n, [F.desc("files"), "key"]).select("kb_id", "rank", "key", "files", "share")
 
 
+# Weights of the score's parts (fixed values).
 WEIGHTS = {"readable": 25.0, "current": 20.0, "unique": 15.0, "covered": 25.0, "spread": 15.0}
 
 
