@@ -1,13 +1,13 @@
 """Texts decoded with the wrong character encoding (problem 2).
 
-Each distinct word with a character beyond ASCII has a plausibility cost: how rare its pairs of
+Each distinct word with a character beyond ASCII, written as such or as an escape, has a plausibility cost: how rare its pairs of
 adjacent characters are over the documents of the corpus. A costly word is the start of a best-first
 search whose steps encode a text in one encoding and decode the bytes in another, or unescape it;
 states are hashed so that none is visited twice, and the cheapest reachable text wins if it is
 cheaper by a margin. ASCII characters are the same in all these encodings, so the words of a text
 can be repaired one by one, whether the text was garbled as a whole or in places.
 
-Defined cases: null ids are left out; null and empty texts, and texts in ASCII, have nothing to repair; a text
+Defined cases: null ids are left out; null and empty texts, and texts in ASCII without escapes, have nothing to repair; a text
 with U+FFFD (characters lost) is found, and repaired as far as its other words allow; repeated rows
 give repeated results; an empty table gives an empty result; extra columns are ignored; texts are
 used whole.
@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import map_arrow
 
-#: Records the character model is made of, at most, and pairs in it, at most.
-MODEL_RECORDS, MODEL_PAIRS = 30_000, 200_000
-#: Steps of a search, states it may open, and how much cheaper (in nats) a repair must be.
-DEPTH, STATES, MARGIN = 3, 60, 5.0
+#: Steps of a search, and how much cheaper (in nats) a repair must be.
+DEPTH, MARGIN = 3, 5.0
 #: Penalty of a step that decodes UTF-8, and of one that takes one single-byte encoding for another.
 STEP, SWAP = 1.0, 4.0
-_WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
+_ESCAPE = r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}"
+_LETTERED = re.compile(_ESCAPE)
+#: A word with a character beyond ASCII or an escape, from its first character on.
+_WORD = re.compile(rf"(?<![^ \t\r\n])[^ \t\r\n]*?(?:[^\x00-\x7f]|{_ESCAPE})[^ \t\r\n]*")
 _OTHER_SCRIPT = re.compile("[\u0370-\u052f\u2e80-\ufdff]")
 _RUN = re.compile("([\x80-\u036f\u0530-\u2e7f]+)")
-_LETTERED = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}")
 
 # Encodings that texts were written in, and that they were taken for (fixed values).
 WRITTEN = ("utf-8", "cp1252", "cp1251", "cp1253", "cp1250", "mac_roman", "cp850", "cp437")
@@ -75,7 +75,16 @@ def decode(data: bytes, name: str) -> str | None:
 
 def unescape(text: str) -> str:
     text = html.unescape(text)
-    return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+    text = re.sub(r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})", lambda m: chr(0x10000 + (int(m[1], 16) - 0xD800) * 0x400 + int(m[2], 16) - 0xDC00), text)
+    return re.sub(r"\\u((?![dD][89a-fA-F])[0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+
+
+def plain(text: str) -> tuple[str, tuple]:
+    """A text without escapes, also of escapes, and the steps to it."""
+    way = ()
+    while len(way) < DEPTH and _LETTERED.search(text) and (new := unescape(text)) != text:
+        text, way = new, (*way, ("unescape",))
+    return text, way
 
 
 def sign(c: str) -> str:
@@ -142,7 +151,7 @@ class Repair:
         self.ways: Counter = Counter()
 
     def steps(self, text: str, first: bool):
-        """Steps from a text; one single-byte encoding is taken for another only at first."""
+        """Steps from a text; one single-byte encoding is taken for another only before any other decoding."""
         swap = first and swappable(text)
         for x in TAKEN_FOR:
             data = encode(text, x)
@@ -172,11 +181,10 @@ class Repair:
     def search(self, word: str, start: float) -> tuple[str, tuple]:
         """The cheapest state, if it saves the margin, and the way to it."""
         best, text, way = start, word, ()
-        queue, seen, order, opened = [(start, 0, word, (), 0.0)], {word}, 0, 0
-        while queue and opened < STATES:
+        queue, seen, order = [(start, 0, word, (), 0.0)], {word}, 0
+        while queue:
             _, _, now, path, spent = heappop(queue)
-            opened += 1
-            for step, new, price in self.steps(now, not path):
+            for step, new, price in self.steps(now, all(len(s) == 1 for s in path)):
                 if new in seen:
                     continue
                 seen.add(new)
@@ -184,7 +192,7 @@ class Repair:
                 order += 1
                 if total < best and any(len(s) == 2 for s in (*path, step)):
                     best, text, way = total, new, (*path, step)
-                if price == STEP and len(path) + 1 < DEPTH:
+                if len(path) + 1 < DEPTH:
                     heappush(queue, (total, order, new, (*path, step), spent + price))
             if best < start / 3:  # plausible already
                 break
@@ -217,24 +225,29 @@ class Repair:
                         found = "".join(new), ways[0]
             if found[1]:
                 self.ways[found[1]] += 1
+        if not found[1]:  # escapes hide what they stand for from the cost
+            base, escapes = plain(word)
+            if escapes and not base.isascii():
+                new, way = self(base)
+                if way:
+                    found = new, (*escapes, *way)
         self.known[word] = found
         return found
 
 
-def character_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", records: int = MODEL_RECORDS) -> Plausibility:
-    """In how many documents of a sample (by hash, at most about `records`) each character pair occurs."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    n = rows.count()
-    share = min(1.0, records / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+def character_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Plausibility:
+    """In how many documents each character pair occurs, over all records."""
+    rows = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
+
+    def counted(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*held.keys()], pa.string()), pa.array([*held.values()], pa.int64())], ["pair", "n"])
 
     def run(batches):
         held: Counter = Counter()
-        total = 0
         cache: dict = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += 1
+                held[""] += 1
                 if not text.isascii():
                     found: set = set()
                     for w in {*_WORD.findall(text)}:
@@ -244,10 +257,12 @@ def character_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held.update(found)
                     if len(cache) > 200_000:
                         cache = {}
-        held[""] = total
-        yield pa.RecordBatch.from_arrays([pa.array([*held.keys()], pa.string()), pa.array([*held.values()], pa.int64())], ["pair", "n"])
+            if len(held) > 200_000:
+                yield counted(held)
+                held = Counter()
+        yield counted(held)
 
-    got = rows.select("text").mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(MODEL_PAIRS).collect()
+    got = rows.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     held = {x.pair: x.n for x in got}
     return Plausibility(held.pop("", 0), held)
 
@@ -273,7 +288,7 @@ def repaired(docs: DataFrame, model: Plausibility | None = None, id_col: str = "
                     changed[w] = new
                     ways[way] += 1
             if not changed:
-                return "\ufffd" in text or re.search(r"[\x80-\x84\x86-\x9f]", text) is not None, text, 0
+                return "\ufffd" in plain(text)[0] or re.search(r"[\x80-\x84\x86-\x9f]", text) is not None, text, 0
             most = ways.most_common(1)[0][0]
             count = [0]
 
@@ -282,7 +297,7 @@ def repaired(docs: DataFrame, model: Plausibility | None = None, id_col: str = "
                 if (new := changed.get(w)) is None:
                     # a word the search left, too short to tell by itself: as the rest of the text, if that makes it no worse
                     new = repair.walk(w, most)
-                    if new is None or new == w or repair.model.cost(new) > repair.model.cost(w):
+                    if new is None or new == w or repair.model.cost(new) > repair.model.cost(plain(w)[0]):
                         return w
                 count[0] += 1
                 return new
@@ -301,5 +316,5 @@ def repaired(docs: DataFrame, model: Plausibility | None = None, id_col: str = "
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, words) of the records with a wrongly decoded stretch. ASCII texts without escapes never reach Python."""
     model = character_model(docs, id_col, text_col)
-    some = docs.where(F.col(text_col).rlike(r"[^\x00-\x7f]"))
+    some = docs.where(F.col(text_col).rlike(rf"[^\x00-\x7f]|{_ESCAPE}"))
     return repaired(some, model, id_col, text_col).where("found").select("doc_id", "text", "words").distinct()

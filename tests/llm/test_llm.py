@@ -114,6 +114,28 @@ def test_repair(spark):
     assert encoding_repair.garbled(df.limit(0)).count() == 0
 
 
+def test_repair_escapes_and_swaps(spark):
+    garble = lambda t, a, b: encoding_repair.decode(t.encode(a), b)
+    texts = [(f"c{i}", t) for i, t in enumerate(CLEAN * 30)] + [("html", "<p>D&eacute;j&agrave; pr&ecirc;t&nbsp;&ndash; l&rsquo;&eacute;t&eacute; &amp; apr&egrave;s</p>"), ("json", '{"a": "caf\\u00e9 \\ud83d\\ude00"}')]
+    good = "Der Prüfer muss die Schlüssel zurückgeben"
+    wrong = garble(good, "utf-8", "latin_1")
+    bad = {
+        "named": "Der Pr&Atilde;&frac14;fer muss die Schl&Atilde;&frac14;ssel zur&Atilde;&frac14;ckgeben", "twice": "Der Pr&amp;Atilde;&amp;frac14;fer muss die Schl&amp;Atilde;&amp;frac14;ssel zur&amp;Atilde;&amp;frac14;ckgeben",
+        "number": "".join(c if c.isascii() else f"&#{ord(c)};" for c in wrong), "backslash": "".join(c if c.isascii() else f"\\u{ord(c):04x}" for c in wrong),
+        "swapped": garble(encoding_repair.decode(good.encode(), "cp1252"), "cp1252", "cp850"),
+    }
+    got = {x.doc_id: x.text for x in encoding_repair.garbled(docs(spark, texts + [*bad.items(), ("lost", "Proc&#65533;dure")])).collect()}
+    assert got == dict.fromkeys(bad, good) | {"lost": "Proc&#65533;dure"}
+
+
+def test_character_model_counts_all(spark):
+    import math
+
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, "né").otherwise("no").alias("text"))
+    model = encoding_repair.character_model(df)
+    assert model.of["né"] == math.log(40_001 / 40.2) and model.unknown == math.log(40_001 / 0.2)
+
+
 # --- problem 4 -------------------------------------------------------------------------------
 
 
