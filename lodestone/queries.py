@@ -266,7 +266,8 @@ select q.kb_id, a, b, round(k / (x.n + y.n - k)::double, 4) as similarity from q
 
 @query(_NEAR)
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.pairs(table(spark, sf, "docs"), table(spark, sf, "kbs"))
+    # its SQL folds by the content hash
+    return near_duplicates.pairs(table(spark, sf, "docs"), table(spark, sf, "kbs"), fold="chash")
 
 
 @query()

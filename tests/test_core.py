@@ -141,6 +141,32 @@ def test_near_duplicates(spark):
     assert near_duplicates.pairs(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_hash(spark):
+    rnd = random.Random(5)
+    text = lambda: [rnd.choice("αβγδεζηθ") + rnd.choice("ικλμνξοπ") + rnd.choice("ρστυφχψω") for _ in range(60)]
+    one, two = text(), text()
+    edited = lambda t, i: " ".join([*t[:i], "άλλο", *t[i + 1 :]])
+    texts = {"a": text(), "b": one, "c": edited(one, 30), "d": two, "e": edited(two, 20), "f": " , ".join(two), "g": text()}
+    docs = frame(spark, [doc(i, t if isinstance(t, str) else " ".join(t), chash="h") for i, t in texts.items()])
+    want = {("b", "c", round(51 / 61, 4)), ("d", "e", round(51 / 61, 4)), ("d", "f", 1.0)}
+    assert {(x.a, x.b, x.similarity) for x in near_duplicates.pairs(docs).collect()} == want
+    assert {(x.group_id, x.doc_id) for x in near_duplicates.groups(docs).collect()} == {("b", "b"), ("b", "c"), ("d", "d"), ("d", "e"), ("d", "f")}
+    assert {(x.a, x.b) for x in near_duplicates.candidate_pairs_lsh(docs).collect()} == {(a, b) for a, b, _ in want}
+
+
+def test_lsh_recall(spark):
+    rnd = random.Random(8)
+    data = []
+    for i in range(120):  # similarities of 73 / 127
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(104)]
+        other = [*words[:54], *(f"v{rnd.randint(0, 10**6)}" for _ in range(23)), *words[77:]]
+        data += [doc(f"a{i:03}", " ".join(words)), doc(f"b{i:03}", " ".join(other))]
+    docs = frame(spark, data)
+    want = {(x.a, x.b) for x in near_duplicates.pairs(docs).collect()}
+    got = {(x.a, x.b) for x in near_duplicates.candidate_pairs_lsh(docs).collect()}
+    assert len(want) == 120 and got <= want and len(got) >= 0.9 * 120
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect()))
