@@ -264,10 +264,21 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
     lines, i, n = raw.split("\n"), 0, 0
     paragraph: list[str] = []
     listing = table = None
-    wiki_table = tabular = False
+    tabular = False
+    cells: list[str] = []  # of the wiki table's row
+    wiki_tables: list[bool] = []  # those open here; whether each has an end
+    opened, closed = [], set()
+    for k, x in enumerate(map(str.strip, lines)):
+        if x.startswith("{|"):
+            opened.append(k)
+        elif x.startswith("|}") and opened:
+            closed.add(opened.pop())
 
     def close() -> None:
-        nonlocal paragraph
+        nonlocal paragraph, cells
+        if cells:
+            done, cells = cells, []
+            row(done)
         text = "\n".join(paragraph).strip()
         paragraph = []
         if text:
@@ -314,7 +325,7 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
             close()
             tree.add("formula", at, s[6:-7])
             continue
-        found = next(((p, m) for p in _HEADING if (m := p.fullmatch(s))), None) if s[:1] in "#=h\\" else None
+        found = next(((p, m) for p in _HEADING if (m := p.fullmatch(s))), None) if s[:1] in "#=h\\" and not (wiki_tables and wiki_tables[-1]) else None
         if found and (found[0] is not _HEADING[0] or not paragraph or not found[1][2][:1].isdigit()):
             close()
             listing = table = None
@@ -325,21 +336,29 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
             text, paragraph = paragraph[0], []
             tree.add("text", tree.add("heading", at, level=1 if s[0] == "=" else 2), inline(text))
             continue
-        if s.startswith("{|"):
+        if s.startswith("{|") and (i - 1 in closed or i < len(lines) and lines[i].strip().startswith(("|", "!"))):
             close()
-            wiki_table, table, cells = True, None, []
+            wiki_tables.append(i - 1 in closed)
+            table = None
             continue
-        if wiki_table:
+        if wiki_tables and not wiki_tables[-1] and not s.startswith(("|", "!")):  # a table without an end: as far as its rows go
+            close()
+            table = None
+            while wiki_tables and not wiki_tables[-1]:
+                wiki_tables.pop()
+        if wiki_tables:
             if s.startswith("|}"):
-                if cells:
-                    row(cells)
-                wiki_table, table = False, None
+                close()
+                wiki_tables.pop()
+                table = None
             elif s.startswith("|-"):
-                if cells:
-                    row(cells)
-                cells = []
-            elif s[:1] in "|!":
+                close()
+            elif s.startswith(("|", "!")):
                 cells += re.split(r"\|\||!!", s[1:])
+            elif s and cells:
+                cells[-1] += "\n" + s
+            elif s:
+                cells = [s]
             continue
         if re.match(r"\\begin\{tabular", s):
             close()

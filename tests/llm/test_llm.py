@@ -189,6 +189,20 @@ def test_markup():
         assert markup.convert(one), one
 
 
+def test_wiki_tables():
+    def shown(text):
+        tree = markup.Tree()
+        markup.parse_lines(text, tree, 0)
+        return [(x.kind, x.text) for x in tree.nodes if x.text], sum(x.kind == "row" for x in tree.nodes)
+
+    text = lambda *x: [("text", t) for t in x]
+    assert shown("{| class=x\n|-\n| one\nmore of one\n# and this\n\n| two\n|-\n| three\n|}\nAfter.") == (text("one more of one # and this", "two", "three", "After."), 2)
+    assert shown("{| class=x\n| one\n| two\n\nA paragraph.\n\nAnother.") == (text("one", "two", "A paragraph.", "Another."), 1)
+    assert shown("Before.\n\n{|\n| one") == (text("Before.", "one"), 1)
+    assert shown("{|\n| one\nText.\n\n{|\n| two\n{|\n| in\n|}\n| three\n|}\nEnd.") == (text("one", "Text.", "two", "in", "three", "End."), 4)
+    assert shown("A brace {| in a line\n{| and here\nEnd.")[0] == text("A brace {| in a line\n{| and here\nEnd.")
+
+
 def test_markup_model():
     """Held-out accuracy of the marginals on labelled pages."""
     model = markup.Model(markup.labelled_pages(300, seed=1))
