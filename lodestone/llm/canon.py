@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import re
+import sys
 from unicodedata import normalize
 
 import regex
@@ -33,7 +34,8 @@ def words(text: str) -> list[str]:
     return _WORD.findall(folded(text))
 
 
-_PAIR = re.compile(r"[^\S\n]*([^:=\n]{1,80}?)[^\S\n]*[:=][^\S\n]*(.*)")
+_PAIR = re.compile(r"([^:=\n]+)[:=](.*)")
+csv.field_size_limit(sys.maxsize)  # cells have any length
 
 
 def _json_form(value):
@@ -44,8 +46,6 @@ def _json_form(value):
     return letters(value if isinstance(value, str) else json.dumps(value))
 
 
-
-
 def record_form(text: str) -> str | None:
     """One string per content of a text made of named fields, whatever the order of its fields.
 

@@ -79,6 +79,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).shares
 
 
+def p9_mixture_by_chars(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture with sizes in characters, which SQL has as well."""
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), size_col="n_chars").documents
+
+
+def p9_shares_by_chars(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), size_col="n_chars").shares
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.residue(table(spark, sf, "documents")).select("doc_id")
 
@@ -87,7 +96,7 @@ def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.without_residue(table(spark, sf, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p4_same_letters, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p4_same_letters, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_mixture_by_chars, p9_shares_by_chars, p10_found, p10_kept)}
 
 _CELLS = r"""with rows as (select doc_id, term, max(coalesce(tf, 0))::bigint as tf from postings
   where doc_id is not null and regexp_matches(term, '[^\s]') group by doc_id, term),
@@ -97,7 +106,19 @@ sums as (select doc_id, sum(tf)::bigint as doc_total from rows group by doc_id)"
 _FOLD = "nfc_normalize(replace(translate(lower(nfc_normalize(text)), 'ςſϐϑϕϖϰϱϵ', 'σsβθφπκρε'), 'ß', 'ss'))"
 _LETTERS = f"regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
+_MIX = """with t as (select source, max(coalesce(target_share, 0)) as target_share, arg_max(greatest(coalesce(max_repeats, 0), 0), coalesce(target_share, 0)) as max_repeats from mix_targets where source is not null group by source),
+d as (select doc_id, source, greatest(coalesce(n_chars, 0), 0) as n from documents where source in (select source from t)),
+z as (select t.*, coalesce(sum(n), 0)::bigint as size from t left join d using (source) group by all), g as (select sum(size)::double as total from z),
+b as (select *, least(target_share * total, size::double * max_repeats) as budget from z, g), e as (select *, case when size > 0 then least(floor(budget / size), max_repeats)::bigint else 0 end as epochs from b),
+r as (select *, case when epochs < max_repeats then budget - epochs * size::double else 0.0 end as rest from e),
+u as (select doc_id, source, n as n_tokens, sum(n) over (partition by source order by substring(md5('0:' || doc_id), 1, 16), doc_id rows unbounded preceding) as upto from d),
+m as (select doc_id, source, n_tokens, epochs + case when upto - n_tokens / 2 < rest and n_tokens > 0 then 1 else 0 end as uses from u join r using (source))"""
+
 SQL = {
+    "p9_mixture_by_chars": _MIX + " select * from m",
+    "p9_shares_by_chars": _MIX
+    + """, k as (select source, sum(n_tokens * uses)::bigint as tokens, max(uses) as most_uses from m group by source)
+select source, target_share, max_repeats, size, coalesce(tokens, 0) as tokens, coalesce(most_uses, 0) as most_uses, coalesce(tokens, 0) / greatest(total, 1) as share_of_size, coalesce(tokens, 0) / (select sum(tokens) from k) as share from r left join k using (source)""",
     "p4_same_letters": f"""with k as (select distinct doc_id, {_LETTERS} as key from docs where status = 'ok'), g as (select key, min(doc_id) as first_id from k where key <> '' group by key)
 select first_id, doc_id from k join g using (key) where doc_id <> first_id""",
     "p6_found": f"""with r as (select -1 as ord, 'd' || doc_id as sid, text from docs where text <> '' union all select arrival_id, 'a' || arrival_id, text from arrivals where text <> ''),

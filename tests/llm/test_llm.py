@@ -37,6 +37,41 @@ def postings(spark):
     return data, spark.createDataFrame(data, POST)
 
 
+@pytest.fixture(params=["whole", "split"])
+def splits(spark, request):
+    """Written tables are read back whole, or in pieces of a few hundred bytes, in one order or another."""
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.leafNodeDefaultParallelism": "9"} if request.param == "split" else {}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_counts_however_split(spark, tmp_path, monkeypatch):
+    """One file of many documents, each with a repeated row; the way it is split changes between any two scans."""
+    from itertools import count
+
+    data = [(f"t{i % 7}", f"d{i // 7}", 1) for i in range(14_000)]
+    spark.createDataFrame(data + data[::-1], "term string, doc_id string, tf int").coalesce(1).write.parquet(str(tmp_path / "p"))
+    df, step = spark.read.parquet(str(tmp_path / "p")), count()
+    inner = term_frequency.cut
+
+    def cut(*args):
+        out = inner(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(3000 * (1 + next(step) % 3)))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "8")
+        return out
+
+    monkeypatch.setattr(term_frequency, "cut", cut)
+    try:
+        got, n = term_frequency.term_counts(df)
+        assert n == 2000 and {(x.occurrences, x.n_docs) for x in got.collect()} == {(2000, 2000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 @pytest.mark.parametrize("stored", [True, False])
 def test_term_counts(spark, tmp_path, stored):
     data, df = postings(spark)
@@ -154,7 +189,7 @@ def test_layout_groups(spark):
     assert sizes["a"] == 3 and sizes["d"] == 1 and sum(sizes.values()) == 20
 
 
-def test_hot_group(spark):
+def test_hot_group(spark, splits):
     """A third of all rows in one group, over the edges of partitions."""
     rnd = random.Random(4)
     texts = [(f"{i:05}", "Hot  content" if i % 3 == 0 else f"text {rnd.randrange(800)}") for i in range(3000)]
@@ -166,6 +201,19 @@ def test_hot_group(spark):
     assert {*rows(layout_duplicates.layout_groups(docs(spark, texts).repartition(7)))} == want
 
 
+def test_long_fields(spark):
+    name, cell = "n" * 300, "c" * 200_000
+    texts = [("a", f"{name}: 1\nsize: 2"), ("b", f"size: 2\n{name}: 1"), ("c", f"x;y\n{cell};1"), ("d", f"y;x\n1;{cell}")]
+    assert rows(layout_duplicates.layout_groups(docs(spark, texts))) == [("a", "b"), ("c", "d")]
+
+
+def test_equal_digests(spark, monkeypatch):
+    """Were full keys to share a digest, records would still be grouped by their full keys."""
+    monkeypatch.setattr(layout_duplicates, "adjacent_copies", lambda keys: keys.where("id <> 'a'").selectExpr("kind", "'a' as first_id", "id"))
+    texts = [("a", "one"), ("b", "ONE"), ("c", "two"), ("d", "Two!"), ("e", "three")]
+    assert rows(layout_duplicates.layout_groups(docs(spark, texts))) == [("a", "b"), ("c", "d")]
+
+
 # --- problem 5 -------------------------------------------------------------------------------
 
 
@@ -371,7 +419,7 @@ def test_tokenize(spark):
 # --- problem 9 -------------------------------------------------------------------------------
 
 
-def test_mixture(spark):
+def test_mixture(spark, splits):
     rnd = random.Random(8)
     data = [(i, rnd.choice(["a", "a", "a", "a", "b", "c", "out", None]), " ".join(["word"] * rnd.randint(0, 40)) if i % 30 else None, 1, "k") for i in range(900)]
     df = spark.createDataFrame(data, "doc_id long, source string, text string, uses int, key string")
