@@ -320,30 +320,47 @@ def brute_repeats(old, new):
     return out
 
 
-@pytest.mark.parametrize("look", [64, 2])
-def test_repeated_arrivals(spark, monkeypatch, look):
-    monkeypatch.setattr(batch_dedup, "FIRST_LOOK", look)  # also with lists that aren't read to the end at first
+@pytest.mark.parametrize(("look", "portion"), [(64, 8_000_000), (1, 300)])
+def test_repeated_arrivals(spark, monkeypatch, look, portion):
+    monkeypatch.setattr(batch_dedup, "LOOK", look)  # also with runs whose holders aren't all looked at at first, and in several passes
+    monkeypatch.setattr(batch_dedup, "PASS_RUNS", portion)
     old, new = arrivals_fixture()
     a = spark.createDataFrame([(i, t, "x", 1) for i, t in [*new, (None, "word")]], "arrival_id long, text string, sid string, ord int")
     want = brute_repeats(old, new)
-    assert {x.arrival_id for x in batch_dedup.repeated_arrivals(docs(spark, old), a).collect()} == want and len(want) > 50
+    history = docs(spark, [*old, (None, old[3][1]), (None, old[4][1])]).repartition(5)
+    assert {x.arrival_id for x in batch_dedup.repeated_arrivals(history, a.repartition(3)).collect()} == want and len(want) > 50
     assert batch_dedup.repeated_arrivals(docs(spark, old).limit(0), a.limit(0)).count() == 0
 
 
-def test_history(spark):
+def test_copies_in_other_words(spark):
+    """A record is compared with every copy of a content, as copies may differ in their words."""
+    w = [f"wordy{i}" for i in range(40)]
+    split = " ".join(x.replace("wordy", "wo rdy") for x in w)
+    edited = " ".join([*w[:20], "changed", *w[21:]])
+    history = docs(spark, [("a", split), ("b", " ".join(w))])
+    a = spark.createDataFrame([(1, edited)], "arrival_id long, text string")
+    assert [x.arrival_id for x in batch_dedup.repeated_arrivals(history, a).collect()] == [1]
+    b = spark.createDataFrame([(1, split), (2, " ".join(w)), (3, edited)], "arrival_id long, text string")
+    assert {x.arrival_id for x in batch_dedup.repeated_arrivals(history.limit(0), b).collect()} == {2, 3}
+
+
+def test_history(spark, monkeypatch):
     old, new = arrivals_fixture()
     new = new[:120]
-    history = batch_dedup.History(spark, buckets=4)
-    history.add(batch_dedup.records(docs(spark, old), spark.createDataFrame([], "arrival_id long, text string")))
+    none, nothing = docs(spark, []).limit(0), spark.createDataFrame([], "arrival_id long, text string")
+    history = batch_dedup.History(spark)
+    history.add(batch_dedup.records(docs(spark, old), nothing))
+    made = []
+    inner = batch_dedup.blocks_of
+    monkeypatch.setattr(batch_dedup, "blocks_of", lambda rows, keep_all: made.append(rows.count()) or inner(rows, keep_all))
     got = set()
-    none = docs(spark, []).limit(0)
     for at in range(0, 120, 40):
-        batch = batch_dedup.records(none, spark.createDataFrame(new[at : at + 40], "arrival_id long, text string"))
-        got |= {x.ord for x in history.repeated(batch).collect()}
-        history.add(batch)
+        got |= {x.ord for x in history.accept(batch_dedup.records(none, spark.createDataFrame(new[at : at + 40], "arrival_id long, text string"))).collect()}
     assert got == brute_repeats(old, new)
+    assert made == [40, 40, 40]  # only texts of the batch are read; segments have none
+    assert "text" not in spark.read.parquet(history.segments[0].path).columns
     sizes = [s.records for s in history.segments]
-    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) < 4
 
 
 # --- problem 7 -------------------------------------------------------------------------------
