@@ -6,13 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.runtime import cut
 
 KEY = ["kb_id", "doc_id"]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """docs with rows that a scan wrote twice as one."""
-    return docs.dropDuplicates(KEY)
+def documents(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with rows that a scan wrote twice as one; columns: besides the key, the columns wanted (all of them if none is named).
+
+    Which keys repeat is settled on the keys alone. Rows of other keys pass without a shuffle of their
+    texts; of the repeated ones the largest row in the order of the columns is kept, so the result doesn't
+    depend on how rows arrive. Tables with null keys keep one row of these too."""
+    rest = [c for c in (columns or docs.columns) if c not in KEY]
+    rows = docs.select(*KEY, *rest)
+    again = docs.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = lambda a, b: a.kb_id.eqNullSafe(b.kb_id) & a.doc_id.eqNullSafe(b.doc_id)
+    single = rows.join(again, same(rows, again), "left_anti")
+    double = rows.join(again, same(rows, again), "left_semi").groupBy(KEY)
+    if not rest:
+        return single.unionByName(double.agg(F.count("*").alias("n")).drop("n"))
+    return single.unionByName(double.agg(F.max(F.struct(*rest)).alias("x")).select(*KEY, "x.*"))
+
+
+def snapshot(docs: DataFrame) -> DataFrame:
+    """documents(docs), written once to the shared folder; for plans that use texts in several parts."""
+    return cut(documents(docs), "snapshot")
+
+
+def listed(docs: DataFrame, status: str | None = None, limit: int = 300) -> DataFrame:
+    """(kb_id, rank, total, and the columns of a listing): the newest documents of each knowledge base, of one status or all.
+
+    limit is 1 to 2000; total is the number before the limit. Null sizes, times and counts are 0."""
+    names = ["rel", "name", "folder", "ext", "size", "mtime", "nwords", "status", "reason"]
+    rows = documents(docs, *names)
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "mtime", "nwords")}
+    rows = rows.select(*KEY, *[zero.get(c, F.col(c)) for c in names])
+    total = rows.groupBy("kb_id").agg(F.count("*").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("mtime"), "rel", "doc_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= max(1, min(limit, 2000))).join(total, "kb_id")
+
+
+def lookup(docs: DataFrame, kb_id: str, doc_id: str, most: int | None = 400_000) -> DataFrame:
+    """One document with its text, and text_cut, which says whether the text goes on after `most` characters; none for no limit."""
+    row = documents(docs.where((F.col("kb_id") == kb_id) & (F.col("doc_id") == doc_id)))
+    cut_ = F.coalesce(F.length("text") > most, F.lit(False)) if most else F.lit(False)
+    return row.withColumn("text_cut", cut_).withColumn("text", F.substring("text", 1, most) if most else F.col("text"))
 
 
 def terms(rows: DataFrame, text: str, keep: list[str], keep_stopwords: bool = False) -> DataFrame:

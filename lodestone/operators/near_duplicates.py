@@ -13,38 +13,33 @@ from lodestone.runtime import cut
 THRESHOLD, LEAST_WORDS, LEAST_RUNS = 0.55, 30, 8
 
 
-def runs_of(docs: DataFrame, fold: str = "words") -> tuple[DataFrame, DataFrame | None]:
+def runs_of(docs: DataFrame, apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kb_id, doc_id, runs): readable documents of enough words, one of each set of copies; (kb_id, a, b): its other copies b.
 
-    Copies have the same words in the same order, by their digest, and so the same runs. fold='chash' takes
-    those of a content hash for copies, whatever their texts, and leaves them out."""
-    rows = documents(docs).where(f"status = 'ok' and nwords >= {LEAST_WORDS}")
-    if fold == "chash":
-        first = rows.groupBy("kb_id", F.coalesce("chash", "doc_id").alias("chash")).agg(F.min("doc_id").alias("doc_id"))
-        rows = rows.join(first.select("kb_id", "doc_id"), ["kb_id", "doc_id"], "left_semi")
+    Copies have the same words in the same order, by their digest, and so the same runs. apart (kb_id, doc_id):
+    documents that are left out, such as those in groups of exact copies."""
+    rows = documents(docs, "status", "nwords", "text").where(f"status = 'ok' and nwords >= {LEAST_WORDS}")
+    if apart is not None:
+        rows = rows.join(apart.select("kb_id", "doc_id"), ["kb_id", "doc_id"], "left_anti")
     split = cut(rows.select("kb_id", "doc_id", T.words(F.coalesce("text", F.lit("")), T.PLAIN_WORD).alias("words")), "words")
-    copies = None
-    if fold == "words":
-        key = split.where(F.size("words") > 0).select("kb_id", "doc_id", F.sha2(F.array_join("words", " "), 256).alias("key"))
-        first = key.groupBy("kb_id", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-        copies = cut(key.join(first, ["kb_id", "key"]).where("doc_id > a").select("kb_id", "a", F.col("doc_id").alias("b")), "copies")
-        split = split.join(copies.select("kb_id", F.col("b").alias("doc_id")), ["kb_id", "doc_id"], "left_anti")
+    key = split.where(F.size("words") > 0).select("kb_id", "doc_id", F.sha2(F.array_join("words", " "), 256).alias("key"))
+    first = key.groupBy("kb_id", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(key.join(first, ["kb_id", "key"]).where("doc_id > a").select("kb_id", "a", F.col("doc_id").alias("b")), "copies")
+    split = split.join(copies.select("kb_id", F.col("b").alias("doc_id")), ["kb_id", "doc_id"], "left_anti")
     sets = cut(split.select("kb_id", "doc_id", T.shingles(F.col("words")).alias("runs")).where(F.size("runs") >= LEAST_RUNS), "runs")
-    if copies is not None:
-        copies = copies.join(sets.select("kb_id", F.col("doc_id").alias("a")), ["kb_id", "a"], "left_semi")
-    return sets, copies
+    return sets, copies.join(sets.select("kb_id", F.col("doc_id").alias("a")), ["kb_id", "a"], "left_semi")
 
 
-def _verified(met: DataFrame, sets: DataFrame, copies: DataFrame | None) -> DataFrame:
+def _verified(met: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
     """(kb_id, a, b, similarity): the pairs of met (kb_id, a, b, t) that reach t, and the links of the copies."""
     side = lambda x: sets.select("kb_id", F.col("doc_id").alias(x), F.col("runs").alias(f"{x}_runs"))
     both = F.size(F.array_intersect("a_runs", "b_runs"))
     out = met.join(side("a"), ["kb_id", "a"]).join(side("b"), ["kb_id", "b"]).withColumn("similarity", both / (F.size("a_runs") + F.size("b_runs") - both))
     out = out.where("similarity >= t").select("kb_id", "a", "b", F.round("similarity", 4).alias("similarity"))
-    return out if copies is None else out.unionByName(copies.withColumn("similarity", F.lit(1.0)))
+    return out.unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
 
-def pairs(docs: DataFrame, thresholds: DataFrame | None = None, default: float = THRESHOLD, fold: str = "words") -> DataFrame:
+def pairs(docs: DataFrame, thresholds: DataFrame | None = None, default: float = THRESHOLD, apart: DataFrame | None = None) -> DataFrame:
     """(kb_id, a, b, similarity): pairs of documents of a knowledge base at or above its threshold, a before b.
     Documents with the same words are searched for as one, the first of them, and each is linked to it.
 
@@ -52,7 +47,7 @@ def pairs(docs: DataFrame, thresholds: DataFrame | None = None, default: float =
     the rarest n - ceil(t n) + 1 runs of either share one, so only those are joined; runs that one document
     alone holds join nothing and are left out, and runs that many share come last in the order and are
     rarely among them. Similarities are then computed in full."""
-    sets, copies = runs_of(docs, fold)
+    sets, copies = runs_of(docs, apart)
     if thresholds is not None:
         limits = thresholds.groupBy("kb_id").agg(F.max("near_threshold").alias("t"))
         sets = sets.join(limits, "kb_id", "left")
@@ -71,9 +66,9 @@ def pairs(docs: DataFrame, thresholds: DataFrame | None = None, default: float =
     return _verified(met, sets, copies)
 
 
-def groups(docs: DataFrame, thresholds: DataFrame | None = None, default: float = THRESHOLD) -> DataFrame:
+def groups(docs: DataFrame, thresholds: DataFrame | None = None, default: float = THRESHOLD, apart: DataFrame | None = None) -> DataFrame:
     """(kb_id, group_id, doc_id, similarity): the connected documents, the group's smallest id and its largest similarity."""
-    found = cut(pairs(docs, thresholds, default), "pairs")
+    found = cut(pairs(docs, thresholds, default, apart), "pairs")
     key = lambda c: F.concat_ws("\x01", "kb_id", c)
     roots = components(found.select(key("a").alias("a"), key("b").alias("b")))
     part = lambda c, i: F.element_at(F.split(c, "\x01"), i)

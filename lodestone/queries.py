@@ -67,10 +67,10 @@ scored as (select kb_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf
     left join d using (kb_id, doc_id)) group by kb_id, doc_id)"""
 
 
-def _page(found: str, k: int, order: str = "score desc, rel", more: str = "") -> str:
-    return f"""{more}, total as (select kb_id, count(*) as total from {found} group by kb_id),
+def _page(found: str, k: int, order: str = "score desc, rel", after: int = 0) -> str:
+    return f""", total as (select kb_id, count(*) as total from {found} group by kb_id),
 ranked as (select *, {_RANKED.format(order=order)} from {found})
-select kb_id, rank, doc_id, rel, name, ext, mtime, status, round(score, 4) as score, total from ranked join total using (kb_id) where rank <= {k}"""
+select kb_id, rank, doc_id, rel, name, ext, mtime, status, round(score, 4) as score, total, false as at_least from ranked join total using (kb_id) where rank > {after} and rank <= {after + k}"""
 
 
 _META = "select kb_id, doc_id, rel, name, ext, mtime, status, score, text from scored join d using (kb_id, doc_id)"
@@ -88,12 +88,12 @@ boosted as (select * replace (score * case when n = {len(terms)} then 1.6 when n
 
 @query(_BUILT + " select * from built")
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return index.postings(index.documents(table(spark, sf, "docs")))
+    return index.postings(index.documents(table(spark, sf, "docs"), "text", "rel"))
 
 
 @query(_BUILT + " select kb_id, doc_id, sum(tf)::int as ntok from built group by kb_id, doc_id")
 def document_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return index.lengths(index.postings(index.documents(table(spark, sf, "docs"))))
+    return index.lengths(index.postings(index.documents(table(spark, sf, "docs"), "text", "rel")))
 
 
 @query(f"with {_POST} select kb_id, term, count(*) as df, sum(tf)::bigint as cf from p group by kb_id, term")
@@ -104,7 +104,7 @@ def term_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""select doc_id, substring(sha1(rel), 1, 16) as computed_id, sha1(trim(regexp_replace({_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) as content_hash,
   length(regexp_extract_all(text, '[^\\s\\x{{0085}}\\p{{Z}}\\x{{1C}}-\\x{{1F}}\\x0B]+')) as words from (select distinct * from docs)""")
 def document_keys(spark: SparkSession, sf: str) -> DataFrame:
-    d = index.documents(table(spark, sf, "docs"))
+    d = index.documents(table(spark, sf, "docs"), "rel", "text")
     return d.select("doc_id", T.doc_id(F.col("rel")).alias("computed_id"), T.content_hash(F.col("text")).alias("content_hash"), T.word_count(F.col("text")).cast("long").alias("words"))
 
 
@@ -120,26 +120,26 @@ def incremental_changed(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["kb_id", "doc_id", "rel", "mtime", "status", "nwords"]
     new = table(spark, sf, "arrivals").withColumn("doc_id", T.doc_id(F.col("rel")))
-    return index.upsert(index.documents(table(spark, sf, "docs")).select(*cols), index.newest(new, index.KEY, [F.desc("arrival_id")]).select(*cols))
+    return index.upsert(index.documents(table(spark, sf, "docs"), *cols[2:]), index.newest(new, index.KEY, [F.desc("arrival_id")]).select(*cols))
 
 
 @query(f"with {_DOCS} select kb_id, doc_id, rel from d where kb_id not in (select kb_id from arrivals) or exists (select 1 from arrivals a where a.kb_id = d.kb_id and a.rel = d.rel)")
 def snapshot_keep_only(spark: SparkSession, sf: str) -> DataFrame:
-    return index.keep_only(index.documents(table(spark, sf, "docs")), table(spark, sf, "arrivals")).select("kb_id", "doc_id", "rel")
+    return index.keep_only(index.documents(table(spark, sf, "docs"), "rel"), table(spark, sf, "arrivals")).select("kb_id", "doc_id", "rel")
 
 
 @query(f"with {_DOCS} select kb_id, doc_id from d where kb_id <> (select min(kb_id) from kbs)")
 def snapshot_drop_kb(spark: SparkSession, sf: str) -> DataFrame:
     first = table(spark, sf, "kbs").agg(F.min("kb_id")).first()[0]
-    return index.drop_kb(index.documents(table(spark, sf, "docs")), first).select("kb_id", "doc_id")
+    return index.drop_kb(index.documents(table(spark, sf, "docs"), "rel"), first).select("kb_id", "doc_id")
 
 
 # --- search ----------------------------------------------------------------------------------
 
 
-def _search(text: str, limit: int = 10):
+def _search(text: str, limit: int = 10, offset: int = 0):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return search.search(table(spark, sf, "postings"), table(spark, sf, "docs"), text, limit=limit)
+        return search.search(table(spark, sf, "postings"), table(spark, sf, "docs"), text, limit=limit, offset=offset)
 
     return run
 
@@ -154,19 +154,17 @@ def _register_searches() -> None:
         "search_excluded": ("handover -audit", boost(["handover"], f"{_META} where not exists (select 1 from p where p.kb_id = d.kb_id and p.doc_id = d.doc_id and term = 'audit')") + _page("boosted", 10)),
         "search_filtered": ("contract ext:pdf ext:.docx folder:signed", boost(["contract"], f"{_META} where lower(ext) in ('.pdf', '.docx') and contains({_fold('rel')}, 'signed')") + _page("boosted", 10)),
         "search_browse": ("ext:md", f"with {_DOCS}, found as (select *, 0.0::double as score from d where lower(ext) = '.md')" + _page("found", 10, "coalesce(mtime, 0) desc, rel")),
-        "search_phrase": (
-            '"price list"',
-            "with " + _bm25(["price", "list"]) + f", cand as (select * from (select *, {_RANKED.format(order='score desc, rel')} from ({_META})) where rank <= 1200), "
-            + _boosted(["price", "list"], f"select * exclude (rank) from cand where regexp_matches(text, '(?i){_PHRASE}')") + _page("boosted", 10),
-        ),
+        "search_phrase": ('"price list"', boost(["price", "list"], f"{_META} where regexp_matches(text, '(?i){_PHRASE}')") + _page("boosted", 10)),
         "search_not_phrase": (
             'price -"stock cards"',
-            "with " + _bm25(["price"]) + f", cand as (select * from (select *, {_RANKED.format(order='score desc, rel')} from ({_META} where not exists (select 1 from p where p.kb_id = d.kb_id and p.doc_id = d.doc_id and term in ('stock', 'card')))) where rank <= 1200), "
-            + _boosted(["price"], r"select * exclude (rank) from cand where not regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{L}\p{N}])stock[^\p{L}\p{N}]+cards([^\p{L}\p{N}]|$)')") + _page("boosted", 10),
+            boost(["price"], rf"{_META} where not exists (select 1 from p where p.kb_id = d.kb_id and p.doc_id = d.doc_id and term in ('stock', 'card')) and not regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{{L}}\p{{N}}])stock[^\p{{L}}\p{{N}}]+cards([^\p{{L}}\p{{N}}]|$)')") + _page("boosted", 10),
         ),
+        "search_second_page": ("price", boost(["price"]) + _page("boosted", 10, after=10)),
     }
+    QUERIES["search_second_page"] = _search("price", 10, 10)
     for name, (text, sql) in out.items():
-        QUERIES[name], SQL[name] = _search(text), sql
+        QUERIES.setdefault(name, _search(text))
+        SQL[name] = sql
 
 
 _register_searches()
@@ -197,12 +195,34 @@ _AGE = f"({NOW} - {_TIME}) / 31557600.0::double"
 _STALE = f"""s as (select kb_id, count_if({_TIME} > 0 and {_AGE} < 1)::bigint as under1, count_if({_TIME} > 0 and {_AGE} >= 1 and {_AGE} < 3)::bigint as from1to3,
   count_if({_TIME} > 0 and {_AGE} >= 3 and {_AGE} < 5)::bigint as from3to5, count_if({_TIME} > 0 and {_AGE} >= 5)::bigint as over5, count_if({_TIME} <= 0)::bigint as unknown,
   {_PCT.format(n=f'count_if({_TIME} > 0 and {_AGE} >= 3)', d='count(*)')} as share_over3 from ok group by kb_id)"""
-_COPIES = f"""m as (select kb_id, chash, doc_id from ok join x using (kb_id, chash) where ok.nwords >= 5), t as (select c.kb_id, coalesce(count(distinct doc_id), 0) as files_involved,
-  {_PCT.format(n='count(distinct doc_id)', d='any_value(readable)')} as share, count(doc_id) - count(distinct chash) as wasted_copies from c left join m using (kb_id) group by c.kb_id)"""
+_FIVE = lambda t: f"""
+n0 as (select kb_id, doc_id, {_words('text', T.PLAIN_WORD)} as w from {t}), n1 as (select *, array_to_string(w, ' ') as same from n0 where len(w) > 0),
+n2 as (select *, min(doc_id) over (partition by kb_id, same) as a from n1), g as (select distinct kb_id, doc_id, array_to_string(w[i:i+4], ' ') as run from (select *, unnest(range(1, len(w) - 3)) as i from n2 where a = doc_id)),
+z as (select kb_id, doc_id, count(*) as n from g group by kb_id, doc_id having count(*) >= 8), q as (select a.kb_id, a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.kb_id = b.kb_id and a.run = b.run and a.doc_id < b.doc_id group by all),
+lim as (select kb_id, coalesce(max(near_threshold), 0.55) as t from kbs group by kb_id),
+np as (select q.kb_id, a, b, round(k / (x.n + y.n - k)::double, 4) as similarity from q join z x on x.kb_id = q.kb_id and x.doc_id = a join z y on y.kb_id = q.kb_id and y.doc_id = b left join lim on lim.kb_id = q.kb_id where k / (x.n + y.n - k)::double >= coalesce(t, 0.55)
+  union all select n2.kb_id, a, n2.doc_id, 1.0 from n2 join z on z.kb_id = n2.kb_id and z.doc_id = a where a <> n2.doc_id),
+np2 as (select kb_id, a, b from np union select kb_id, b, a from np union select kb_id, a, a from np union select kb_id, b, b from np), nr(kb_id, a, b) as (select * from np2 union select nr.kb_id, nr.a, np2.b from nr join np2 on np2.kb_id = nr.kb_id and np2.a = nr.b),
+nm0 as (select kb_id, b as doc_id, min(a) as group_id from nr group by kb_id, b), nm as (select nm0.kb_id, nm0.group_id, doc_id, similarity from nm0 join
+  (select nm0.kb_id, group_id, max(np.similarity) as similarity from np join nm0 on nm0.kb_id = np.kb_id and nm0.doc_id = np.a group by all) using (kb_id, group_id))"""
+_POOL = "pool as (select kb_id, doc_id, coalesce(text, '') as text from ok where nwords >= 30 and not exists (select 1 from x where x.kb_id = ok.kb_id and x.chash = ok.chash))"
+_NEAR_PARTS = f"{_EXACT}, {_POOL}, {_FIVE('pool')}"
+_COPIES = f"""m as (select kb_id, 'exact' as kind, chash as g, doc_id from ok join x using (kb_id, chash) where ok.nwords >= 5 union all select kb_id, 'near', group_id, doc_id from nm),
+t as (select c.kb_id, count(distinct case when kind = 'exact' then g end) as exact_groups, count(distinct case when kind = 'near' then g end) as near_groups, coalesce(count(distinct doc_id), 0) as files_involved,
+  {_PCT.format(n='count(distinct doc_id)', d='any_value(readable)')} as share, count(doc_id) - count(distinct kind || g) as wasted_copies from c left join m using (kb_id) group by c.kb_id)"""
 _PLAIN = lambda x: f"' ' || regexp_replace({_fold(x)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-_COVER = f"""i as (select item_key, list_filter(list_transform(phrases, lambda q: ' ' || trim(regexp_replace(lower(q), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '), lambda q: length(q) > 2) as ps from checklist where coalesce(is_on, true)),
-w as materialized (select kb_id, {_PLAIN('rel')} as rel, {_PLAIN("coalesce(text, '')")} as text from ok), v as materialized (select kb_id, item_key, count_if(in_name)::bigint as in_name, count_if(not in_name and in_text)::bigint as in_text,
-  count_if(in_name) > 0 as named, count_if(in_name or in_text) > 0 as found from (select kb_id, item_key, len(list_filter(ps, lambda q: contains(rel, q))) > 0 as in_name, len(list_filter(ps, lambda q: contains(text, q))) > 0 as in_text from w, i where len(ps) > 0) group by kb_id, item_key)"""
+_COVER = f"""i as (select item_key, any_value(label) as label, list_filter(list_transform(any_value(phrases), lambda q: {{'raw': q, 'said': ' ' || trim(regexp_replace(lower(q), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '}}), lambda q: length(q.said) > 2) as ps from checklist where coalesce(is_on, true) group by item_key),
+w as materialized (select kb_id, doc_id, rel as shown, {_PLAIN('rel')} as rel, {_PLAIN("coalesce(text, '')")} as text from ok),
+fi as materialized (select * from (select kb_id, doc_id, shown as rel, item_key, case when len(list_filter(ps, lambda q: contains(w.rel, q.said))) > 0 then 'name' when len(list_filter(ps, lambda q: contains(text, q.said))) > 0 then 'text' end as place,
+  list_filter(ps, lambda q: contains(w.rel, q.said) or contains(text, q.said))[1].raw as phrase from w, i where len(ps) > 0) where place is not null),
+v as materialized (select k.kb_id, item_key, count_if(coalesce(place, '') = 'name')::bigint as in_name, count_if(coalesce(place, '') = 'text')::bigint as in_text, count_if(coalesce(place, '') = 'name') > 0 as named, count(place) > 0 as found
+  from (select distinct kb_id from ok) k cross join (select item_key from i where len(ps) > 0) left join fi using (kb_id, item_key) group by k.kb_id, item_key),
+cs as (select kb_id, max(measured) as measured, max(checked) as checked, max(n) + max(o) as found, max(n) as named, max(o) as mentioned, round(max(n) + 0.5 * max(o), 1) as credit, {_PCT.format(n='(max(n) + 0.5 * max(o))', d='max(checked)')} as credit_share, {_PCT.format(n='(max(n) + max(o))', d='max(checked)')} as share,
+  coalesce(any_value(missing), []) as missing, coalesce(any_value(mentioned_only), []) as mentioned_only from (select distinct kb_id from d) left join (
+  select k.kb_id, count_if(coalesce(named, false))::bigint as n, count_if(coalesce(found, false) and not coalesce(named, false))::bigint as o, list(coalesce(label, item_key) order by item_key) filter (not coalesce(found, false)) as missing,
+    list(coalesce(label, item_key) order by item_key) filter (coalesce(found, false) and not coalesce(named, false)) as mentioned_only from (select distinct kb_id from ok) k cross join i left join v using (kb_id, item_key) group by k.kb_id) using (kb_id),
+  (select count(*)::int as checked from i), (select false as z) group by kb_id)"""
+_COVER = _COVER.replace("max(measured) as measured", "max(n) is not null as measured").replace("max(n) + max(o)", "coalesce(max(n), 0) + coalesce(max(o), 0)").replace("max(n) as named, max(o) as mentioned", "coalesce(max(n), 0) as named, coalesce(max(o), 0) as mentioned").replace("max(n) + 0.5 * max(o)", "coalesce(max(n), 0) + 0.5 * coalesce(max(o), 0)")
 
 
 def _share(key: str, source: str, n: int) -> str:
@@ -216,7 +236,6 @@ _docs_query("stats_by_status", f"with {_DOCS} select kb_id, status, count(*) as
 _docs_query("report_counts", f"with {_DOCS}, {_COUNTS} select * from c", report.counts)
 _docs_query("exact_duplicate_groups", f"with {_DOCS}, {_EXACT} select * from x", report.exact_groups)
 _docs_query("exact_duplicate_members", f"with {_DOCS}, {_EXACT} select kb_id, chash, doc_id, rel from ok join x using (kb_id, chash) where ok.nwords >= 5", report.exact_members)
-_docs_query("duplicate_totals", f"with {_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES} select * from t", report.duplicate_totals)
 _docs_query("staleness_buckets", f"with {_DOCS}, {_STALE} select * from s", lambda d: report.staleness(d, NOW))
 _docs_query("oldest_files", f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by mtime, rel) as rank, doc_id, rel, round(({NOW} - mtime) / 31557600.0::double, 1) as years from ok where {_TIME} > 0 qualify rank <= 12", lambda d: report.oldest(d, NOW))
 _docs_query("thin_files", f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by nwords, rel) as rank, doc_id, rel, nwords from ok where nwords < 25 qualify rank <= 24", report.thin)
@@ -224,6 +243,7 @@ for _by, _default in (("reason", "no reason recorded"), ("ext", "(no extension)"
     _key = f"case when {_by} <> '' then {_by} else '{_default}' end"
     _docs_query(f"unreadable_by_{_by}", f"""with {_DOCS} select *, {_PCT.format(n='files', d='sum(files) over (partition by kb_id)')} as share from (select kb_id, {_key} as key, count(*) as files,
   sum(coalesce(size, 0))::bigint as bytes, list_sort(list(rel))[1:5] as examples from d where status = 'unreadable' group by kb_id, key)""", lambda d, by=_by: report.unread(d, by))
+_docs_query("unreadable_top_types", SQL["unreadable_by_ext"] + " qualify row_number() over (partition by kb_id order by files desc, key) <= 3", lambda d: report.unread(d, "ext", n=3))
 _docs_query("skipped_by_ext", f"""with {_DOCS} select kb_id, rank, key, files from ({_share("case when ext <> '' then ext else '(no extension)' end", "(select * from d where status = 'skipped')", 12)})""", report.skipped)
 _docs_query("concentration_folder", f"with {_DOCS} {_share(_FOLDER, 'ok', 8)}", lambda d: report.concentration(d, "folder"))
 _docs_query("concentration_type", f"""with {_DOCS} {_share("case when ext <> '' then ext else '(no extension)' end", 'ok', 8)}""", lambda d: report.concentration(d, "type"))
@@ -240,39 +260,117 @@ _docs_query("unreferenced_files", f"""with {_DOCS}, {_REFS} select r.kb_id, r.do
   from r left join ref on ref.kb_id = r.kb_id and ref.doc_id = r.doc_id""", report.references)
 
 
+_VERDICT = """judged as (select r.kb_id, r.doc_id, rel, size, case when len(tokens) = 0 then 'unjudged' when ref.doc_id is not null then 'referenced' else 'unreferenced' end as verdict
+  from r left join ref on ref.kb_id = r.kb_id and ref.doc_id = r.doc_id)"""
+_REFERENCED = f"with {_DOCS}, {_REFS}, {_VERDICT}"
+_docs_query("unreferenced_largest", f"{_REFERENCED} select kb_id, row_number() over (partition by kb_id order by size desc, rel) as rank, doc_id, rel, size from judged where verdict = 'unreferenced' qualify rank <= 36", lambda d: report.unreferenced(report.references(d)))
+_docs_query("unjudged_files", f"{_REFERENCED} select kb_id, row_number() over (partition by kb_id order by rel) as rank, doc_id, rel from judged where verdict = 'unjudged' qualify rank <= 12", lambda d: report.unjudged(report.references(d)))
+_docs_query(
+    "reference_counts",
+    f"""{_REFERENCED} select kb_id, count_if(verdict = 'unreferenced')::bigint as unreferenced, count_if(verdict <> 'unjudged')::bigint as judged, count_if(verdict = 'unjudged')::bigint as unjudged,
+  {_PCT.format(n="count_if(verdict = 'unreferenced')", d="count_if(verdict <> 'unjudged')")} as share from judged group by kb_id""",
+    lambda d: report.reference_counts(report.references(d)),
+)
+
+
+def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "docs"), table(spark, sf, "checklist")
+
+
 @query(f"with {_DOCS}, {_COVER} select * from v")
 def coverage_by_item(spark: SparkSession, sf: str) -> DataFrame:
-    return report.coverage(table(spark, sf, "docs"), table(spark, sf, "checklist"))
+    return report.coverage(*_checked(spark, sf))
+
+
+@query(f"with {_DOCS}, {_COVER} select kb_id, item_key, row_number() over (partition by kb_id, item_key order by case when place = 'name' then 0 else 1 end, rel, doc_id) as rank, rel, place, phrase from fi qualify rank <= 5")
+def coverage_first_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return report.coverage_hits(report.coverage_of_files(*_checked(spark, sf)))
+
+
+@query(f"with {_DOCS}, {_COVER} select kb_id, measured, checked, found, named, mentioned, credit, credit_share, share, missing, mentioned_only from cs")
+def coverage_credit(spark: SparkSession, sf: str) -> DataFrame:
+    docs, checklist = _checked(spark, sf)
+    return report.coverage_summary(docs, checklist, report.coverage(docs, checklist))
 
 
-@query(f"""with {_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES}, {_STALE}, {_COVER}, o as (select kb_id, share as top from ({_share(_FOLDER, 'ok', 1)})),
-k as (select kb_id, sum(case when named then 1.0 when found then 0.5 else 0.0 end)::double as credit from v group by kb_id), n as (select count(*) as items from checklist where coalesce(is_on, true)),
-z as (select c.kb_id, case when readable + unreadable > 0 then {_PCT.format(n='readable', d='(readable + unreadable)')} end as readable, case when readable > 0 then round(100.0 - share_over3, 1) end as current,
-  case when readable > 0 then round(100.0 - t.share, 1) end as "unique", case when readable > 0 then {_PCT.format(n='credit', d='items')} end as covered,
+@query(f"with recursive {_DOCS}, {_COUNTS}, {_NEAR_PARTS}, {_COPIES} select * from t")
+def duplicate_totals(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "docs")
+    return report.duplicate_totals(docs, report.near_members(docs, table(spark, sf, "kbs")))
+
+
+_GROUPS = f"""ga as (select kb_id, 'exact' as kind, chash as group_id, files, words, newest, spread_years, 1.0::double as similarity, words::double as second from x union all
+  select kb_id, 'near', group_id, count(*), arg_min(nwords, struct_pack(a := -{_TIME}, b := rel)), arg_min(rel, struct_pack(a := -{_TIME}, b := rel)), round((max({_TIME}) - min({_TIME})) / 31557600.0::double, 1), max(similarity), max(similarity) from nm join ok using (kb_id, doc_id) group by kb_id, group_id),
+gt as (select *, row_number() over (partition by kb_id, kind order by files desc, second desc, group_id) as rank from ga qualify rank <= 24)"""
+
+
+@query(f"with recursive {_DOCS}, {_COUNTS}, {_NEAR_PARTS}, {_COPIES}, {_GROUPS} select gt.kb_id, gt.kind, rank, group_id, files, words, newest, spread_years, similarity, list(rel order by -{_TIME}, rel) as members from gt join m on m.kb_id = gt.kb_id and m.kind = gt.kind and m.g = group_id join ok on ok.kb_id = m.kb_id and ok.doc_id = m.doc_id group by all")
+def duplicate_groups_largest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "docs")
+    return report.largest_groups(docs, report.near_members(docs, table(spark, sf, "kbs")))
+
+
+_SCORED = f"""o as (select kb_id, share as top from ({_share(_FOLDER, 'ok', 1)})),
+sc0 as (select c.kb_id, case when readable + unreadable > 0 then {_PCT.format(n='readable', d='(readable + unreadable)')} end as readable, case when readable > 0 then round(100.0 - share_over3, 1) end as current,
+  case when readable > 0 then round(100.0 - t.share, 1) end as "unique", case when readable > 0 then credit_share end as covered,
   case when readable > 0 then round(case when top <= 35 then 100.0 else greatest(0.0, 100.0 * (100.0 - top) / 65.0) end, 1) end as spread
-  from c left join s using (kb_id) left join t using (kb_id) left join k using (kb_id) left join o using (kb_id), n)
-select *, round(coalesce(round(readable / 100.0 * 25, 1), 0) + coalesce(round(current / 100.0 * 20, 1), 0) + coalesce(round("unique" / 100.0 * 15, 1), 0) + coalesce(round(covered / 100.0 * 25, 1), 0) + coalesce(round(spread / 100.0 * 15, 1), 0), 1) as points,
-  round((case when readable is not null then 25 else 0 end + case when current is not null then 75 else 0 end)::double, 1) as out_of from z""")
+  from c left join s using (kb_id) left join t using (kb_id) left join cs using (kb_id) left join o using (kb_id)),
+sc as (select *, round(coalesce(round(readable / 100.0 * 25, 1), 0) + coalesce(round(current / 100.0 * 20, 1), 0) + coalesce(round("unique" / 100.0 * 15, 1), 0) + coalesce(round(covered / 100.0 * 25, 1), 0) + coalesce(round(spread / 100.0 * 15, 1), 0), 1) as points,
+  round((case when readable is not null then 25 else 0 end + case when current is not null then 75 else 0 end)::double, 1) as out_of from sc0)"""
+_ALL_PARTS = f"{_DOCS}, {_COUNTS}, {_NEAR_PARTS}, {_COPIES}, {_STALE}, {_COVER}, {_SCORED}"
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs, checklist = _checked(spark, sf)
+    docs = index.snapshot(docs)
+    return report.score(docs, checklist, NOW, report.near_members(docs, table(spark, sf, "kbs")))
+
+
+@query(f"with recursive {_ALL_PARTS} select *, case when out_of = 0 then 'none' when 100 * points / out_of >= 80 then 'good' when 100 * points / out_of >= 60 then 'fair' when 100 * points / out_of >= 40 then 'poor' else 'bad' end as band from sc")
 def readiness_score(spark: SparkSession, sf: str) -> DataFrame:
-    return report.score(table(spark, sf, "docs"), table(spark, sf, "checklist"), NOW)
+    return _scores(spark, sf)
 
 
-_NEAR = f"""with {_DOCS}, pool as (select distinct on (kb_id, coalesce(chash, doc_id)) kb_id, doc_id, text from ok where nwords >= 30 order by kb_id, coalesce(chash, doc_id), doc_id),
-w as (select kb_id, doc_id, {_words('text', T.PLAIN_WORD)} as w from pool), g as (select distinct kb_id, doc_id, array_to_string(w[i:i+4], ' ') as run from (select *, unnest(range(1, len(w) - 3)) as i from w)),
-z as (select kb_id, doc_id, count(*) as n from g group by kb_id, doc_id having count(*) >= 8), q as (select a.kb_id, a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.kb_id = b.kb_id and a.run = b.run and a.doc_id < b.doc_id group by all),
-lim as (select kb_id, coalesce(max(near_threshold), 0.55) as t from kbs group by kb_id)
-select q.kb_id, a, b, round(k / (x.n + y.n - k)::double, 4) as similarity from q join z x on x.kb_id = q.kb_id and x.doc_id = a join z y on y.kb_id = q.kb_id and y.doc_id = b left join lim on lim.kb_id = q.kb_id where k / (x.n + y.n - k)::double >= coalesce(t, 0.55)"""
+_ROWS = [("readable", 25, "readable"), ("current", 20, "current"), ("unique", 15, '"unique"'), ("covered", 25, "covered"), ("spread", 15, "spread")]
+_PART_ROWS = " union all ".join(f"select kb_id, {i} as position, '{k}' as part, '{report.PARTS[k]}' as label, {w}.0::double as weight, {c} as share, round({c} / 100.0 * {w}, 1) as points, {c} is not null as measured from sc" for i, (k, w, c) in enumerate(_ROWS, 1))
+
+
+@query(f"with recursive {_ALL_PARTS} {_PART_ROWS}")
+def readiness_score_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return report.score_parts(_scores(spark, sf))
+
+
+def _in_one(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as one knowledge base, which has many near-duplicates."""
+    return table(spark, sf, "docs").withColumn("kb_id", F.lit("all"))
+
+
+_NEAR_IN = f"with recursive {_DOCS}, {_NEAR_PARTS}"
+_NEAR_ALL = f"with recursive d as (select distinct * replace ('all' as kb_id) from docs), ok as (select * from d where status = 'ok'), pool as (select kb_id, doc_id, coalesce(text, '') as text from ok where nwords >= 30), {_FIVE('pool')}"
+
 
+def _apart(spark: SparkSession, sf: str) -> DataFrame:
+    return report.exact_members(table(spark, sf, "docs"))
 
-@query(_NEAR)
+
+@query(f"{_NEAR_IN} select * from np")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # its SQL folds by the content hash
-    return near_duplicates.pairs(table(spark, sf, "docs"), table(spark, sf, "kbs"), fold="chash")
+    return near_duplicates.pairs(table(spark, sf, "docs"), table(spark, sf, "kbs"), apart=_apart(spark, sf))
 
 
-@query()
+@query(f"{_NEAR_IN} select * from nm")
 def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.groups(table(spark, sf, "docs"), table(spark, sf, "kbs"))
+    return report.near_members(table(spark, sf, "docs"), table(spark, sf, "kbs"))
+
+
+@query(f"{_NEAR_ALL} select * from np")
+def near_duplicate_pairs_in_one(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.pairs(_in_one(spark, sf))
+
+
+@query(f"{_NEAR_ALL} select * from nm")
+def near_duplicate_groups_in_one(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.groups(_in_one(spark, sf))
 
 
 @query()
@@ -280,41 +378,50 @@ def near_duplicate_candidates_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.candidate_pairs_lsh(table(spark, sf, "docs"))
 
 
-@query(f"with {_DOCS} select kb_id, row_number() over (partition by kb_id order by {_TIME} desc, rel) as rank, doc_id, rel, status, coalesce(reason, '') as reason from d where status = 'unreadable' qualify rank <= 300")
-def list_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = index.documents(table(spark, sf, "docs")).where("status = 'unreadable'").withColumn("reason", F.coalesce("reason", F.lit("")))
-    return report._first(rows, 300, [F.desc(F.coalesce("mtime", F.lit(0))), "rel"]).select("kb_id", "rank", "doc_id", "rel", "status", "reason")
+def _listed(where: str, n: int) -> str:
+    return f"""with {_DOCS} select kb_id, doc_id, rel, name, folder, ext, coalesce(size, 0) as size, {_TIME} as mtime, coalesce(nwords, 0) as nwords, status, reason,
+  row_number() over (partition by kb_id order by {_TIME} desc, rel, doc_id) as rank, count(*) over (partition by kb_id) as total from d where {where} qualify rank <= {n}"""
 
 
-_SCORE_PARTS = f"{_DOCS}, {_COUNTS}, {_EXACT}, {_COPIES}, {_STALE}, {_COVER}, {_REFS}"
+_docs_query("list_documents", _listed("true", 20), lambda d: index.listed(d, limit=20))
+_docs_query("list_unreadable_documents", _listed("status = 'unreadable'", 300), lambda d: index.listed(d, "unreadable"))
+_docs_query("slim_documents", f"""with {_DOCS} select kb_id, doc_id, coalesce(rel, '') as rel, coalesce(name, '') as name, coalesce(folder, '') as folder, coalesce(ext, '') as ext, coalesce(size, 0) as size, {_TIME} as mtime, coalesce(nwords, 0) as nwords, reason from d""", report.slim)
 
 
-@query(f"""with {_SCORE_PARTS}, judged as (select r.kb_id, case when len(tokens) = 0 then 'unjudged' when ref.doc_id is not null then 'referenced' else 'unreferenced' end as verdict
-  from r left join ref on ref.kb_id = r.kb_id and ref.doc_id = r.doc_id),
-e as (select kb_id, 'unreadable' as kind, unreadable as files, {_PCT.format(n='unreadable', d='total')} as severity from c union all select kb_id, 'copies', files_involved, share from t
-  union all select kb_id, 'stale', from3to5 + over5, share_over3 from s
-  union all select kb_id, 'missing', count_if(not found)::bigint, {_PCT.format(n='count_if(not found)', d='count(*)')} from v group by kb_id
-  union all select kb_id, 'piled', files, share from ({_share(_FOLDER, 'ok', 1)}) where share >= 50
-  union all select kb_id, 'unreferenced', count_if(verdict = 'unreferenced')::bigint, {_PCT.format(n="count_if(verdict = 'unreferenced')", d="count_if(verdict <> 'unjudged')")} from judged group by kb_id)
-select kb_id, row_number() over (partition by kb_id order by severity desc, kind) as rank, kind, files, severity from e where files > 0""")
+@query(f"""with recursive {_ALL_PARTS}, {_REFS}, {_VERDICT},
+e as (select kb_id, 'unreadable' as kind, unreadable as files, {_PCT.format(n='unreadable', d='total')} as severity, unreadable || ' of ' || total || ' files could not be read' as said from c
+  union all select kb_id, 'copies', files_involved, share, files_involved || ' files are copies of others or nearly so; ' || wasted_copies || ' of them are one too many' from t where wasted_copies > 0
+  union all select kb_id, 'stale', from3to5 + over5, share_over3, (from3to5 + over5) || ' readable files are over three years old' from s
+  union all select kb_id, 'missing', len(missing), {_PCT.format(n='len(missing)', d='checked')}, len(missing) || ' of ' || checked || ' things on the checklist were not found: ' || array_to_string(list_transform(missing[1:3], lambda l: lower(l[1]) || l[2:]), ', ') || case when len(missing) > 3 then ' and others' else '' end from cs where measured
+  union all select kb_id, 'piled', files, share, files || ' readable files lie in one folder, ' || key from ({_share(_FOLDER, 'ok', 1)}) where share >= 50
+  union all select kb_id, 'unreferenced', count_if(verdict = 'unreferenced')::bigint, {_PCT.format(n="count_if(verdict = 'unreferenced')", d="count_if(verdict <> 'unjudged')")}, count_if(verdict = 'unreferenced') || ' of ' || count_if(verdict <> 'unjudged') || ' files are named in no other file' from judged group by kb_id),
+f2 as (select * from e where files > 0 union all select c.kb_id, 'partial', total, 0.0, 'the last scan was stopped early: everything here is about the ' || total || ' files it had reached' from c where kb_id in (select kb_id from kbs where is_partial))
+select kb_id, row_number() over (partition by kb_id order by case when kind = 'partial' then 0 else 1 end, severity desc, kind) as rank, kind, files, severity, said from f2""")
 def findings_by_severity(spark: SparkSession, sf: str) -> DataFrame:
-    return report.findings(table(spark, sf, "docs"), table(spark, sf, "checklist"), NOW)
+    docs, checklist = _checked(spark, sf)
+    docs, kbs = index.snapshot(docs), table(spark, sf, "kbs")
+    return report.findings(docs, checklist, NOW, report.near_members(docs, kbs), kbs)
+
+
+@query()
+def report_json(spark: SparkSession, sf: str) -> DataFrame:
+    return report.assembled(report.sections(table(spark, sf, "docs"), table(spark, sf, "kbs"), table(spark, sf, "checklist"), NOW))
 
 
 @query(f"""with {_DOCS} select k.kb_id, k.name, coalesce(near_threshold, 0.55) as threshold, coalesce(is_partial, false) as is_partial, last_scan, count(doc_id) as files,
   row_number() over (order by last_scan desc nulls last, k.kb_id) as rank from kbs k left join d using (kb_id) group by k.kb_id, k.name, near_threshold, is_partial, last_scan""")
 def kb_overview(spark: SparkSession, sf: str) -> DataFrame:
-    files = index.documents(table(spark, sf, "docs")).groupBy("kb_id").agg(F.count("*").alias("files"))
+    files = index.documents(table(spark, sf, "docs"), "rel").groupBy("kb_id").agg(F.count("*").alias("files"))
     rows = table(spark, sf, "kbs").join(files, "kb_id", "left").select("kb_id", "name", F.coalesce("near_threshold", F.lit(0.55)).alias("threshold"), F.coalesce("is_partial", F.lit(False)).alias("is_partial"), "last_scan", F.coalesce("files", F.lit(0)).alias("files"))
     # a row for each knowledge base, so one partition holds them
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("last_scan"), "kb_id")))
 
 
-@query(f"with {_DOCS} select d.kb_id, d.doc_id, rel, left(text, 400000) as text from d join (select kb_id, min(doc_id) as doc_id from d group by kb_id) using (kb_id, doc_id)")
+@query(f"with {_DOCS} select kb_id, doc_id, rel, left(text, 400000) as text, length(text) > 400000 as text_cut from d where kb_id = (select min(kb_id) from kbs) and doc_id = (select min(doc_id) from d where kb_id = (select min(kb_id) from kbs))")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    d = index.documents(table(spark, sf, "docs"))
-    first = d.groupBy("kb_id").agg(F.min("doc_id").alias("doc_id"))
-    return d.join(first, index.KEY, "left_semi").select("kb_id", "doc_id", "rel", F.substring("text", 1, 400_000).alias("text"))
+    docs, kb = table(spark, sf, "docs"), table(spark, sf, "kbs").agg(F.min("kb_id")).first()[0]
+    first = docs.where(F.col("kb_id") == kb).agg(F.min("doc_id")).first()[0]
+    return index.lookup(docs, kb, first or "").select("kb_id", "doc_id", "rel", "text", "text_cut")
 
 
 def _html_sql() -> str:
@@ -332,5 +439,5 @@ def _html_sql() -> str:
 
 @query(f"select distinct kb_id, doc_id, {_html_sql()} as text from docs where status = 'ok' and lower(ext) in ('.html', '.htm')")
 def html_as_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = index.documents(table(spark, sf, "docs")).where("status = 'ok' and lower(ext) in ('.html', '.htm')")
+    d = index.documents(table(spark, sf, "docs"), "status", "ext", "text").where("status = 'ok' and lower(ext) in ('.html', '.htm')")
     return d.select("kb_id", "doc_id", T.strip_markup(F.col("text")).alias("text"))

@@ -42,19 +42,31 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that cut() has written, once no frame built on it is needed."""
+    written = (table.sparkSession, getattr(table, "_cut_path", None))
+    if written in _written:
+        _written.remove(written)
+        _delete(*written)
 
 
 def drop_cuts() -> None:
     """Delete every table that cut() has written; frames built on them can't be read afterwards."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(drop_cuts)

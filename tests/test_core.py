@@ -1,8 +1,8 @@
 """Core operators against hand-made values, and every query against SQL on the smallest tables."""
 
 import io
-import os
 import random
+import re
 import time
 import zipfile
 import zlib
@@ -96,9 +96,30 @@ def test_snippets(spark, corpus):
     assert all("".join(p.t for p in x.parts) == x.snippet for x in page) and any(p.hit for p in page[0].parts)
     start = time.time()
     for _ in range(20):
-        search.snippet("word " * 20000 + "needle here", ["needle", "x" * 10_000], [])
+        search.snippet("word " * 20000 + "needle here", search.mark_pattern(["needle", "x" * 10_000], []))
     assert time.time() - start < 5
-    assert search.snippet("", ["a"], []) == ("", []) and search.snippet("plain", [], [])[0] == "plain"
+    assert search.snippet("", search.mark_pattern(["a"], [])) == ("", []) and search.snippet("plain", None)[0] == "plain"
+    found = search.answer(*corpus, "the", with_snippets=False)
+    assert found.reason.startswith("only very common words") and found.results.count() == 0
+    (top,) = search.answer(*corpus, "vendor").results.collect()
+    assert top.rel == "contracts/vendor.docx" and not top.at_least and [p.t for p in top.parts if p.hit] == ["Vendor"]
+
+
+def test_densest_window():
+    """Against trying every start, and the parts against the text."""
+    rnd = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["pipe", "roof", "or", "beam\nlong", "x" * rnd.randint(1, 60)]) for _ in range(rnd.randint(1, 120)))
+        pattern = search.mark_pattern(["pi", "beam"], ["roof or"])
+        spans, width = search.hit_spans(text, pattern), rnd.choice([40, 90, 260])
+        got, parts = search.snippet(text, pattern, width)
+        assert got == "".join(t for t, _ in parts) and len(got) <= width + 4
+        if spans:
+            a, b = search.densest(spans, width)
+            assert b - a == max(sum(s <= x <= s + width for x, _ in spans) for s, _ in spans) and spans[b - 1][0] - spans[a][0] <= width
+            assert any(h for _, h in parts) and all(re.match(r"pi|beam|roof or", t) or got.endswith((f"{t} …", t)) and any(w.startswith(t) for w in ("pipe", "beam", "roof or")) for t, h in parts if h)
+        inner = got.removeprefix("… ").removesuffix(" …")
+        assert inner in re.sub(r"\s", " ", text)
 
 
 def test_snapshots(spark):
@@ -120,7 +141,16 @@ def test_duplicates(spark):
     (g,) = report.exact_groups(docs).collect()
     assert (g.files, g.newest, g.spread_years) == (3, "a", 2.0)
     (t,) = report.duplicate_totals(docs).collect()
-    assert (t.files_involved, t.wasted_copies, t.share) == (3, 2, 50.0)
+    assert (t.files_involved, t.wasted_copies, t.share, t.exact_groups, t.near_groups) == (3, 2, 50.0, 1, 0)
+    longer = f"{LOREM} and then they all go home again"
+    docs = docs.unionByName(frame(spark, [doc("g", longer, chash="x", mtime=NOW - YEAR), doc("h", f"{longer} {longer}", chash="y"), doc("i", longer.replace("monday", "friday"), chash="z"), doc("j", longer, chash="v", kb="other")]))
+    near = report.near_members(docs)
+    (t,) = report.duplicate_totals(docs.where("kb_id = 'k'"), near).collect()
+    assert (t.files_involved, t.wasted_copies, t.exact_groups, t.near_groups) == (6, 4, 1, 1)
+    got = report.largest_groups(docs, near).orderBy("kind").collect()
+    assert [(x.kind, x.rank, x.members) for x in got] == [("exact", 1, ["a", "c", "b"]), ("near", 1, ["h", "i", "g"])]
+    (s,) = report.score(docs.where("kb_id = 'k'"), spark.createDataFrame([], "item_key string, phrases array<string>, is_on boolean"), NOW, near).collect()
+    assert s.unique == 33.3 and s.covered is None and s.out_of == 75.0 and s.band in ("good", "fair", "poor", "bad")
 
 
 def test_near_duplicates(spark):
@@ -200,6 +230,10 @@ def test_coverage_and_score(spark):
     docs = frame(spark, [doc("Safety Manual.txt", "shipped goods"), doc("memo.txt", "our Back-up and BACKUP rules"), doc("x.pdf", status="unreadable")])
     got = {x.item_key: (x.named, x.found, x.in_name, x.in_text) for x in report.coverage(docs, items).collect()}
     assert got == {"safety": (True, True, 1, 0), "backup": (False, True, 0, 1)}
+    finds = report.coverage_of_files(docs.unionByName(docs), items)
+    assert rows(report.coverage_hits(finds).select("item_key", "rank", "place", "phrase")) == [("backup", 1, "text", "backup"), ("safety", 1, "name", "safety")]
+    (c,) = report.coverage_summary(docs, items, report.coverage(docs, items)).collect()
+    assert (c.checked, c.found, c.named, c.mentioned, c.credit, c.credit_share, c.missing, c.mentioned_only) == (2, 2, 1, 1, 1.5, 75.0, [], ["backup"])
     (s,) = report.score(docs, items, NOW).collect()
     assert (s.readable, s.current, s.unique, s.covered, s.spread, s.out_of) == (66.7, 100.0, 100.0, 75.0, 0.0, 100.0)
     (none,) = report.score(frame(spark, [doc("x.pdf", status="unreadable")]), items, NOW).collect()
@@ -212,8 +246,50 @@ def test_weights():
     assert report.scaled_weights(None) == report.WEIGHTS == report.scaled_weights(dict.fromkeys(report.WEIGHTS, 0))
 
 
-def test_markdown(spark):
-    assert "| a | 1 |" in report.markdown({"T": spark.createDataFrame([("a", 1)], "k string, n int")})
+def test_shares():
+    rnd = random.Random(9)
+    for _ in range(200):
+        parts = [rnd.random() * rnd.choice([0, 1, 100]) for _ in range(5)]
+        if any(parts):
+            got = report.shared_out(parts, 1000)
+            assert sum(got) == 1000 and all(abs(n - 1000 * x / sum(parts)) < 1 for n, x in zip(got, parts))
+
+
+def test_whole_report(spark):
+    """All sections at once, as JSON and Markdown; a stopped scan is said first."""
+    import json
+
+    items = spark.createDataFrame([("safety", "Safety rules", "w", ["safety"], True), ("audit", "AUDIT trail", "w", ["audit"], True)], "item_key string, label string, why string, phrases array<string>, is_on boolean")
+    kbs = spark.createDataFrame([("k", None, True), ("other", 0.9, False)], "kb_id string, near_threshold double, is_partial boolean")
+    docs = frame(spark, [doc("Jobs/Safety | plan.txt", LOREM, mtime=NOW - 4 * YEAR), doc("Jobs/b.txt", "short"), doc("c.pdf", status="unreadable", reason="scan"), doc("p.jpg", status="skipped"), doc("x.txt", LOREM, kb="other")])
+    docs = docs.unionByName(docs.where("rel = 'Jobs/b.txt'"))  # a row written twice
+    tables = report.sections(docs, kbs, items, NOW)
+    got = {x.kb_id: json.loads(x.report) for x in report.assembled(tables).collect()}
+    k = got["k"]
+    assert k["counts"]["total"] == 4 and k["coverage"]["missing"] == ["AUDIT trail"] and [x["part"] for x in k["score_parts"]] == [*report.WEIGHTS]
+    assert round(sum(x["points"] for x in k["score_parts"]), 1) == k["score"]["points"]
+    said = [x["kind"] for x in k["findings"]]
+    assert said[0] == "partial" and [x["severity"] for x in k["findings"][1:]] == sorted((x["severity"] for x in k["findings"][1:]), reverse=True) and "aUDIT trail" in str(k["findings"])
+    assert "partial" not in str(got["other"]["findings"]) and got["other"]["counts"]["total"] == 1
+    text = report.markdown("Base", json.dumps(k), "/srv/x", "today")
+    assert text.startswith("# Base") and text.index("stopped early") < text.index("## Score") and "Safety \\| plan.txt" in text
+    assert report.slug("My Base: 2 / ä") == "my-base-2" and report.slug("é") == "report"
+
+
+def test_bands(spark):
+    df = spark.createDataFrame([(80.0, 100.0), (79.9, 100.0), (30.0, 75.0), (10.0, 100.0), (0.0, 0.0)], "p double, o double")
+    assert [x[0] for x in df.select(report.band(F.col("p"), F.col("o"))).collect()] == ["good", "fair", "poor", "bad", "none"]
+
+
+def test_documents_written_twice(spark):
+    a, b = doc("a", "one"), doc("a", "two", mtime=NOW + 1)
+    df = frame(spark, [a, b, doc("b", "x"), doc("b", "x"), doc("c", "y")])
+    want = {(x.rel, x.text) for x in index.documents(df).collect()}
+    assert want == {("a", "two"), ("b", "x"), ("c", "y")} == {(x.rel, x.text) for x in index.documents(df.repartition(3).orderBy(F.rand())).collect()}
+    assert index.documents(df, "rel").columns == ["kb_id", "doc_id", "rel"] and index.documents(df, "kb_id").count() == 3
+    assert [(x.rel, x.total) for x in index.listed(df, limit=2).orderBy("rank").collect()] == [("a", 3), ("b", 3)] and index.listed(df, "skipped").count() == 0
+    (row,) = index.lookup(df, "k", "a", most=2).collect()
+    assert (row.text, row.text_cut) == ("tw", True) and index.lookup(df, "k", "z").count() == 0
 
 
 # --- files -----------------------------------------------------------------------------------
