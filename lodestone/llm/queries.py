@@ -92,11 +92,16 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.residue(table(spark, sf, "documents")).select("doc_id")
 
 
+def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouping stage alone, which SQL can express."""
+    return boilerplate.recurring_lines(table(spark, sf, "documents"))
+
+
 def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.without_residue(table(spark, sf, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p4_same_letters, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_mixture_by_chars, p9_shares_by_chars, p10_found, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_residuals, p4_found, p4_same_letters, p5_found, p5_cleaned, p6_found, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_mixture_by_chars, p9_shares_by_chars, p10_found, p10_kept, p10_forms)}
 
 _CELLS = r"""with rows as (select doc_id, term, max(coalesce(tf, 0))::bigint as tf from postings
   where doc_id is not null and regexp_matches(term, '[^\s]') group by doc_id, term),
@@ -114,7 +119,17 @@ r as (select *, case when epochs < max_repeats then budget - epochs * size::doub
 u as (select doc_id, source, n as n_tokens, sum(n) over (partition by source order by substring(md5('0:' || doc_id), 1, 16), doc_id rows unbounded preceding) as upto from d),
 m as (select doc_id, source, n_tokens, epochs + case when upto - n_tokens / 2 < rest and n_tokens > 0 then 1 else 0 end as uses from u join r using (source))"""
 
+
+
+def _form(x: str) -> str:
+    for pattern, mark in boilerplate.MASKS:
+        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
+    return f"trim({x})"
+
+
 SQL = {
+    "p10_forms": f"""with l as (select doc_id, coalesce(source, '') as source, {_form('line')} as form from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents where doc_id is not null))
+select form, count(distinct doc_id) as documents, count(distinct source) as sources from l where form <> '' group by form having count(distinct doc_id) >= {boilerplate.DOCUMENTS} and count(distinct source) >= {boilerplate.SOURCES}""",
     "p9_mixture_by_chars": _MIX + " select * from m",
     "p9_shares_by_chars": _MIX
     + """, k as (select source, sum(n_tokens * uses)::bigint as tokens, max(uses) as most_uses from m group by source)

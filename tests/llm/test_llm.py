@@ -486,6 +486,29 @@ def test_boilerplate(spark):
     assert boilerplate.residue(df.limit(0)).count() == 0
 
 
+UNSEEN = ["The requested resource could not be located.", "Something went wrong on our side.", "This website requires scripting to work.", "Bad request", "Your connection was refused by the gateway", "Der Server konnte die Anfrage nicht bearbeiten.", "Cette ressource n’existe plus sur le serveur, réessayez plus tard.", "Se produjo un error inesperado en el servidor", "Страница не найдена", "Η σελίδα δεν βρέθηκε"]
+
+
+def test_unseen_notices(spark):
+    """Messages in no list of phrases are found where they recur over sources, with other numbers and addresses in each, however long
+    the page; sentences of the same words within real content aren't, nor a message that doesn't recur."""
+    real = "The crew will weigh the cards and leave the car park tidy, and the clerk adds each of them to the list of the yard before noon."
+    bad = {f"{i}-{k}": f"{x} 1{k}:30 /srv/{k}/x\n" * (200 if k == 0 else 1) for i, x in enumerate(UNSEEN) for k in range(6)}
+    good = {f"g{i}-{k}": f"{real} {real}\n{x}\n{real}" for i, x in enumerate(UNSEEN) for k in range(6)} | {"once": "The login of this application was interrupted"}
+    data = [(i, t, f"s{n % 3}") for n, (i, t) in enumerate([*bad.items(), *good.items()])]
+    df = spark.createDataFrame(data, "doc_id string, text string, source string")
+    assert {x.doc_id for x in boilerplate.residue(df).collect()} == bad.keys()
+
+
+def test_fields_and_filler():
+    for x in ["Dear «FirstName», we wrote.", "Prezado __ClientName__, segue o recibo.", "Name: ________", "Dear <%= user.name %>,", "Hello *|FNAME|*", f"{'We met. ' * 80}Dear {{{{name}}}}, thank you.", "Dear {{name}}, your volume discount is {{rate}}"]:
+        assert boilerplate.judged_line(x)[0] & boilerplate.ADDRESSED, x
+    for x in ["« abîmé », a écrit le chef", "Mail-merge fields such as «FirstName» draw on the sheet.", "In the letter template, {{client_name}} is filled from the job card.", "The [signed] copy and the [scanned] copy are both kept."]:
+        assert not boilerplate.judged_line(x)[0] & (boilerplate.ADDRESSED | boilerplate.FIELDED), x
+    for x in ["asdf jkl asdf qwer", "test test test test", "Dolor sit amet consectetur adipiscing elit sed", "blah blah blah blah blah blah blah blah blah"]:
+        assert boilerplate.judged_line(x)[0] == boilerplate.FILLER, x
+
+
 # --- the queries -----------------------------------------------------------------------------
 
 
