@@ -66,7 +66,7 @@ página páginas sitio sitios servidor servidores solicitud recurso recursos acc
 pedido acesso permissão sessão conexão ligação serviço aplicação erro erros conteúdo endereço sítio algo""".split()}
 THINGS_ELSEWHERE = re.compile(r"страниц|сайт|сервер|запрос|ресурс|доступ|сесси|сеанс|соединени|сервис|браузер|скрипт|ошибк|σελίδα|διακομιστής|αίτημα|πρόσβαση|συνεδρία|σύνδεση|υπηρεσία|φυλλομετρητ|σφάλμα|σενάρι|javascript|ページ|サイト|サーバ|リクエスト|アクセス|セッション|接続|サービス|ブラウザ|スクリプト|エラー", re.I)
 BEFALLS = re.compile(r"""(?ix)\b(?:not\ found|(?:could|can|did|does|do|was|were|is|are)(?:\ not|n['’]t|not)\ (?:be\ )?(?:found|located|load(?:ed)?|displayed|shown|processed|completed|reached|opened?|available|allowed|authori[sz]ed|permitted|supported|enabled|exist|respond(?:ing)?|work|have\ (?:access|permission))|unable\ to|fail(?:ed|s|ure)|went\ wrong|den(?:ied|y)|forbidden|refused|blocked|unauthori[sz]ed|unavailable|interrupted|expired|time[ds]?[\ -]?out|too\ long|too\ many|no\ longer|bad|invalid|broken|internal|unexpected|moved|removed|deleted|maintenance|offline|down|crashed|suspended|missing|try\ again|later|reload|refresh|go\ back|retry|requires?|required|needs?|must\ be|enable[ds]?|activate[ds]?|allow(?:ed)?|disabled|turn(?:ed)?\ o(?:n|ff)|switch(?:ed)?\ o(?:n|ff)|without\ (?:java\s?)?scripts?|supported|occurred
-    |nicht\ (?:gefunden|verfügbar|erreichbar|möglich|geladen|angezeigt|gestattet|erlaubt|unterstützt|bearbeitet)|konnte[n]?\ nicht|kann\ nicht|verweigert|gesperrt|verboten|fehlgeschlagen|schiefgelaufen|abgelaufen|unterbrochen|ungültig\w*|unerwartet\w*|interner|wartung|später|erneut|aktivier\w+|benötigt|erforderlich|erlauben\ sie|zurück\ zur
+    |nicht\ (?:gefunden|verfügbar|erreichbar|möglich|geladen|angezeigt|gestattet|erlaubt|unterstützt|bearbeitet)|(?:konnten?|kann|können)\ (?:[^\s.]+\ ){0,6}nicht|verweigert|gesperrt|verboten|fehlgeschlagen|schiefgelaufen|abgelaufen|unterbrochen|ungültig\w*|unerwartet\w*|interner|wartung|später|erneut|aktivier\w+|benötigt|erforderlich|erlauben\ sie|zurück\ zur
     |introuvable|non\ trouvée?|n['’](?:a\ pas\ pu|est\ pas|existe)|refusée?|interdite?|indisponible|expirée?|échou\w+|interrompue?|invalide|inattendue?|interne|maintenance|plus\ tard|réessay\w+|activ(?:er|ez|és?)|requis|nécessaires?|autoris(?:er|ez)|désactivée?s?|retour\ à
     |no\ (?:se\ (?:pudo|puede|encontr\w+)|está|existe|disponible|encontrad[ao]|permitid[ao])|denegad[oa]|prohibid[oa]|rechazad[oa]|caduc\w+|expirad[oa]|falló|fallid[oa]|salió\ mal|inválid[oa]|inesperad[oa]|intern[oa]|mantenimiento|más\ tarde|de\ nuevo|inténtelo|vuelva\ a|active|activar|habilit\w+|requiere|necesita|desactivad[oa]|volver\ al
     |não\ (?:foi|pôde|pode|encontrad[ao]|está|existe|disponível|permitid[ao])|negad[oa]|proibid[oa]|recusad[oa]|expirou|falhou|correu\ mal|deu\ errado|indisponível|manutenção|mais\ tarde|novamente|ative|ativar|requer|precisa|desativad[oa]|voltar

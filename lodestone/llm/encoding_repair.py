@@ -143,12 +143,11 @@ def swappable(word: str) -> bool:
 
 
 class Repair:
-    """Best-first search for the cheapest text a garbled word can come from."""
+    """Best-first search for the cheapest text a garbled word can come from; it depends on the word and the model alone."""
 
     def __init__(self, model: Plausibility):
         self.model = model
         self.known: dict[str, tuple[str, tuple]] = {}
-        self.ways: Counter = Counter()
 
     def steps(self, text: str, first: bool):
         """Steps from a text; one single-byte encoding is taken for another only before any other decoding."""
@@ -208,23 +207,15 @@ class Repair:
         start = self.model.cost(word)
         found = word, ()
         if start > 3.0 * n or start > self.model.unknown:
-            for way, _ in self.ways.most_common(4):  # what repaired other words, if it makes this one plausible
-                new = self.walk(word, way)
-                if new is not None and new != word and (way[0][-1] == "utf-8" or swappable(word)) and (cost := self.model.cost(new)) < 3.0 * max(1, len(pairs(new))) and start - cost >= MARGIN + SWAP:
-                    found = new, way
-                    break
-            else:
-                found = self.search(word, start)
-                if not found[1] and _OTHER_SCRIPT.search(word) and len(runs := _RUN.findall(word)) and len(runs[0]) < len(word):
-                    new, ways = [], []  # garbled in places within a word: its runs in neither Greek, Cyrillic nor Asian scripts
-                    for run in _RUN.split(word):
-                        text, way = self(run) if _RUN.fullmatch(run) and len(run) > 1 else (run, ())
-                        new.append(text)
-                        ways += [way] * bool(way)
-                    if ways:
-                        found = "".join(new), ways[0]
-            if found[1]:
-                self.ways[found[1]] += 1
+            found = self.search(word, start)
+            if not found[1] and _OTHER_SCRIPT.search(word) and len(runs := _RUN.findall(word)) and len(runs[0]) < len(word):
+                new, ways = [], []  # garbled in places within a word: its runs in neither Greek, Cyrillic nor Asian scripts
+                for run in _RUN.split(word):
+                    text, way = self(run) if _RUN.fullmatch(run) and len(run) > 1 else (run, ())
+                    new.append(text)
+                    ways += [way] * bool(way)
+                if ways:
+                    found = "".join(new), ways[0]
         if not found[1]:  # escapes hide what they stand for from the cost
             base, escapes = plain(word)
             if escapes and not base.isascii():
@@ -282,7 +273,7 @@ def repaired(docs: DataFrame, model: Plausibility | None = None, id_col: str = "
             if text.isascii() and not _LETTERED.search(text):
                 return False, text, 0
             changed, ways = {}, Counter()
-            for w in {*_WORD.findall(text)}:
+            for w in dict.fromkeys(_WORD.findall(text)):
                 new, way = repair(w)
                 if way:
                     changed[w] = new

@@ -1,16 +1,22 @@
 """Variant spellings of names typed by people (problem 7).
 
 Each distinct spelling is read as a person (given and family name, in either order, with initials,
-as a login), a firm (name, trade, legal form) or nobody (placeholders). Family and firm names with
-typing errors are found by a pigeonhole segment join: a name is cut into k + 2 segments, of which k
-errors leave two whole, so pairs of segments are looked up, shifted by as much as k errors can
-shift them, in an inverted index, and candidates are verified with a banded edit distance that
-counts a swap of neighbours as one error. Spellings are joined where the parts agree; a spelling
-with initials only, or without a legal form, is joined if just one person or firm fits it.
+as a login), a firm (name, trade, legal form) or nobody (placeholders). Names with a typing error
+are found by a pigeonhole segment join: an error is a letter too many, missing or other, or a swap
+of neighbours, which may touch two segments. So a name is cut into 4 segments, of which an error
+leaves two whole, and pairs of segments are looked up, shifted by one place where a letter was
+added or lost, in an inverted index; candidates are verified with a banded edit distance. The join
+serves family and firm names, and given names that aren't known. Spellings are joined where the
+parts agree; a spelling with initials only, or without a legal form, is joined if just one person
+or firm fits it.
+
+What is a given name is learned from the data (a word that occurs with several family names), as are
+ends of firms' names that are in no list (a last word of many names that don't begin with a given
+name). Both are tables that are joined to the words of a spelling, of whatever size.
 
 Defined cases: null, empty and blank authors and placeholders are nobody; repeated rows count once;
 spellings are compared exactly as stored; an empty table gives an empty result; extra columns are
-ignored. A very long spelling is a name like any other; only names of 6 letters or more may have errors.
+ignored. A very long spelling is a name like any other; family and firm names of 5 letters or more may have errors.
 """
 
 from __future__ import annotations
@@ -27,15 +33,16 @@ from lodestone.operators.components import components
 from lodestone.runtime import cut, map_arrow
 
 #: Errors that the join allows for; segments a name is cut into.
-ERRORS = 2
-SEGMENTS = ERRORS + 2
-#: Given names learned from the data, at most, and the family names one must occur with.
-LEARNED, PARTNERS = 5000, 4
-SHORTEST = 6
+ERRORS, SEGMENTS = 1, 4
+#: Family names a word must occur with to be a given name; names, at least, that an end of firms' names must follow, and their share, at most, that begins with a given name.
+PARTNERS, FOLLOWED, GIVEN_SHARE = 4, 10, 0.1
+SHORTEST = 5
 
 # Authors that mean nobody, legal forms and words of trades with their abbreviations (fixed values).
 PLACEHOLDERS = {"admin", "administrator", "author", "default", "default user", "guest", "microsoft office user", "n/a", "na", "nobody", "none", "null", "office", "office user", "owner", "pc", "root", "scan", "scanner", "system", "test", "unknown", "unknown author", "user", "windows user"}
 LEGAL = {"ag": "ag", "co": "company", "company": "company", "corp": "corporation", "corporation": "corporation", "gmbh": "gmbh", "inc": "incorporated", "incorporated": "incorporated", "limited": "limited", "llc": "llc", "ltd": "limited", "plc": "plc", "sarl": "sarl", "societe": "societe", "ste": "societe"}
+# Legal forms that could be a family name as well: they are one at the end of a name that doesn't begin with a given name (fixed values).
+LEGAL_AT_END = {*"ab aps as bv doo kft kg kk llp lp ltda nv ohg oy oyj pte pty sa sas sl spa srl sro ug".split()}
 TRADES = {"bros": "brothers", "brothers": "brothers", "constr": "construction", "construction": "construction", "elec": "electrical", "electrical": "electrical", "eng": "engineering", "engineering": "engineering", "group": "group", "haulage": "haulage", "holdings": "holdings", "international": "international", "intl": "international", "logistics": "logistics", "manufacturing": "manufacturing", "mfg": "manufacturing", "roofing": "roofing", "services": "services", "sons": "sons", "supply": "supply", "svcs": "services", "systems": "systems", "tech": "technology", "technology": "technology", "tooling": "tooling", "transp": "transport", "transport": "transport"}
 
 
@@ -70,8 +77,8 @@ def near(word: str, known: dict[str, str]) -> str | None:
     """What a word of a short fixed list means, one error allowed in words of some length."""
     if word in known:
         return known[word]
-    if len(word) >= SHORTEST - 1:
-        found = {known[k] for k in known if len(k) >= SHORTEST and distance(word, k, 1) <= 1}
+    if len(word) >= 5:
+        found = {known[k] for k in known if len(k) >= 6 and distance(word, k, 1) <= 1}
         if len(found) == 1:
             return found.pop()
     return None
@@ -80,14 +87,21 @@ def near(word: str, known: dict[str, str]) -> str | None:
 _PARTS = re.compile(r"[^\W_]+(?:['’.][^\W_]+)*\.?")
 
 
+def split_words(author: str) -> list[str]:
+    """The words of a spelling, without marks on letters; dots between single letters are left out (g.m.b.h.)."""
+    text = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\.?", lambda m: m[0].replace(".", ""), " ".join(plain(author).split()))
+    return [x.rstrip(".") for x in _PARTS.findall(text.replace("-", " "))]
+
+
 class Reader:
-    """Reads spellings; given: what each known given name or nickname means."""
+    """Reads spellings. given: what each known given name or nickname among its words means; almost: what words one error from
+    a known name mean; ends: its last word, if it ends firms' names."""
 
-    def __init__(self, given: dict[str, str]):
-        self.given = given
+    def __init__(self, given: dict[str, str], almost: dict[str, str] | None = None, ends: set[str] | None = None):
+        self.given, self.almost, self.ends = given, almost or {}, ends or set()
 
     def name(self, word: str) -> str | None:
-        return self.given.get(word) or near(word, self.given)
+        return self.given.get(word) or self.almost.get(word)
 
     def __call__(self, author: str) -> tuple[str, str, str, str] | None:
         """(kind, a, b, c): person (given, family, ''), initial (letter, family, '') or firm (name, trade, legal)."""
@@ -100,14 +114,15 @@ class Reader:
                 return ("person", self.name(a) or a, b, "")
         if re.fullmatch(r"[a-z]{5,}", text) and author.islower():
             return ("initial", text[0], text[1:], "")
-        squeezed = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\.?", lambda m: m[0].replace(".", ""), text)  # g.m.b.h.
-        words = [x.rstrip(".") for x in _PARTS.findall(squeezed.replace("-", " "))]
+        words = split_words(author)
         if words[:1] == ["the"]:
             words = words[1:]
         legal = [LEGAL[w] for w in words if w in LEGAL]
         rest = [w for w in words if w not in LEGAL]
-        if not legal and len(rest) > 1 and len(rest[-1]) >= SHORTEST and (x := near(rest[-1], LEGAL)):
+        if not legal and len(rest) > 1 and len(rest[-1]) >= 6 and (x := near(rest[-1], LEGAL)):
             legal, rest = [x], rest[:-1]
+        if not legal and len(rest) > 1 and "," not in text and (rest[-1] in self.ends or rest[-1] in LEGAL_AT_END and not self.name(rest[0]) and len(rest[0]) > 1):
+            legal, rest = rest[-1:], rest[:-1]
         trades = [(i, near(w, TRADES)) for i, w in enumerate(rest)]
         trades = [(i, t) for i, t in trades if t]
         if legal or trades:
@@ -165,11 +180,12 @@ def probe_keys(name: str) -> set[str]:
     return out
 
 
-def similar_names(names: DataFrame, column: str) -> DataFrame:
-    """(a, b, d): pairs of distinct names, a before b, with d of at most ERRORS errors."""
-    rows = names.select(F.col(column).alias("name")).where(F.length("name") >= SHORTEST).distinct()
+def similar_names(names: DataFrame, column: str, others: DataFrame | None = None) -> DataFrame:
+    """(a, b, d): pairs of distinct names, a before b, with d of at most ERRORS errors; others: (column) names that one of each pair must be of."""
+    rows_of = lambda x: x.select(F.col(column).alias("name")).where(F.length("name") >= SHORTEST).distinct()
+    rows = cut(rows_of(names), "names")
 
-    def keys_of(make_keys):
+    def keys_of(rows: DataFrame, make_keys):
         def make():
             def f(batch: pa.RecordBatch) -> dict:
                 pairs = [(k, x) for x in batch.column(0).to_pylist() for k in make_keys(x)]
@@ -179,9 +195,13 @@ def similar_names(names: DataFrame, column: str) -> DataFrame:
 
         return map_arrow(rows, make, "key string, name string")
 
-    index, probe = keys_of(index_keys), keys_of(probe_keys)
-    met = index.withColumnRenamed("name", "x").join(probe.withColumnRenamed("name", "y"), "key").where("x <> y")
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    join = lambda x, y: keys_of(x, index_keys).withColumnRenamed("name", "x").join(keys_of(y, probe_keys).withColumnRenamed("name", "y"), "key")
+    if others is None:
+        met = join(rows, rows)
+    else:
+        others = cut(rows_of(others), "names")
+        met = join(others, rows).unionByName(join(rows, others))
+    met = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -193,12 +213,12 @@ def similar_names(names: DataFrame, column: str) -> DataFrame:
     return map_arrow(met, make, "a string, b string, d int")
 
 
-def given_names(authors: DataFrame, nicknames: DataFrame) -> dict[str, str]:
-    """What each given name or nickname means: the list's, and those learned from the data, at most 5000.
+def given_names(authors: DataFrame, nicknames: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """What the list's given names and nicknames mean, and (word, meaning) of these and of those learned from the data.
 
     A first word (or the word after a comma) that occurs with several family names is a given name."""
     known: dict[str, str] = {}
-    for x in nicknames.select("given_name", "nickname").collect():
+    for x in nicknames.select("given_name", "nickname").collect():  # a list made by hand
         if x.given_name:
             known[plain(x.given_name)] = plain(x.given_name)
             if x.nickname:
@@ -217,30 +237,71 @@ def given_names(authors: DataFrame, nicknames: DataFrame) -> dict[str, str]:
 
         return f
 
+    def fresh():
+        def f(batch: pa.RecordBatch) -> dict:
+            words = [w for w in batch.column(0).to_pylist() if w not in known and w not in TRADES and w not in LEGAL and near(w, known) is None]
+            return {"word": words, "meaning": words}
+
+        return f
+
     seen = map_arrow(authors.select("author"), make, "first string, last string").groupBy("first").agg(F.count_distinct("last").alias("n"))
-    words = {x.first for x in seen.where(F.col("n") >= PARTNERS).orderBy(F.desc("n"), "first").limit(LEARNED).collect()}
-    for w in sorted(words):
-        if w not in known and w not in TRADES and w not in LEGAL and near(w, known) is None:
-            known[w] = w
-    return known
+    learned = map_arrow(seen.where(F.col("n") >= PARTNERS).select("first"), fresh, "word string, meaning string")
+    listed = authors.sparkSession.createDataFrame([*known.items()], "word string, meaning string")
+    return known, cut(listed.unionByName(learned), "given")
+
+
+def word_lists(authors: DataFrame, given: DataFrame) -> DataFrame:
+    """(author, given, almost, ends): for each spelling, those of its words that are given names or one error from just one, as
+    maps, and its last word if that ends firms' names."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict:
+            out = []
+            for author in batch.column(0).to_pylist():
+                words = split_words(author)
+                comma = "," in author
+                first, before = (words[0], " ".join(words[:-1])) if len(words) > 1 and not comma else (None, None)
+                parts = {*words, *(x for w in words for x in w.split("."))}
+                out += [(author, w, w == words[-1] and before is not None and len(w) > 1, first, before) for w in parts if w]
+            cols = [*zip(*out)] if out else [()] * 5
+            return dict(zip(("author", "word", "last", "first", "before"), cols))
+
+        return f
+
+    said = cut(map_arrow(authors.select("author"), make, "author string, word string, last boolean, first string, before string"), "words")
+    words = said.select("word").distinct()
+    unknown = words.join(given, "word", "left_anti")
+    pairs = similar_names(unknown, "word", given.where(F.length("word") >= 6))
+    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).join(given.select(F.col("word").alias("b"), "meaning"), "b").join(unknown.withColumnRenamed("word", "a"), "a", "left_semi")
+    almost = either.groupBy(F.col("a").alias("word")).agg(F.count_distinct("meaning").alias("n"), F.min("meaning").alias("almost")).where("n = 1").drop("n")
+    begins = given.select(F.col("word").alias("first"), F.lit(1).alias("begins"))
+    final = said.where("last and length(first) > 1").select("word", "before", "first").distinct().join(begins, "first", "left")
+    ends = final.groupBy("word").agg(F.count_distinct("before").alias("n"), F.count("begins").alias("k"), F.count("*").alias("m")).where((F.col("n") >= FOLLOWED) & (F.col("k") <= GIVEN_SHARE * F.col("m"))).select("word", F.lit(True).alias("ends"))
+    ends = ends.join(given, "word", "left_anti")
+    known = cut(given.join(almost, "word", "full_outer").join(ends, "word", "full_outer"), "known")
+    rows = said.join(known, "word", "left").groupBy("author")
+    pick = lambda c: F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("word", c))))).alias({"meaning": "given"}.get(c, c))
+    return rows.agg(pick("meaning"), pick("almost"), F.max(F.when(F.col("last") & F.col("ends"), F.col("word"))).alias("ends"))
 
 
 def variant_groups(docs: DataFrame, nicknames: DataFrame, author_col: str = "author") -> DataFrame:
     """(author, entity): the spellings that mean a person or firm, with the smallest key of the group."""
     authors = cut(docs.select(F.col(author_col).alias("author")).where("author is not null and trim(author) <> ''").distinct(), "authors")
-    given = docs.sparkSession.sparkContext.broadcast(given_names(authors, nicknames))
+    _, given = given_names(authors, nicknames)
 
     def make():
-        reader = Reader(given.value)
-
         def f(batch: pa.RecordBatch) -> dict:
-            got = [(x, *r) for x in batch.column(0).to_pylist() if (r := reader(x))]
+            got = []
+            for author, known, almost, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                if r := Reader(dict(known or ()), dict(almost or ()), {ends} - {None})(author):
+                    got.append((author, *r))
             cols = [*zip(*got)] if got else [()] * 5
             return dict(zip(("author", "kind", "a", "b", "c"), cols))
 
         return f
 
-    read = map_arrow(authors, make, "author string, kind string, a string, b string, c string")
+    told = word_lists(authors, given)
+    read = map_arrow(authors.join(told, "author", "left"), make, "author string, kind string, a string, b string, c string")
     read = cut(read.withColumn("key", F.concat_ws("|", "kind", "a", "b", "c")), "read")
     keys = cut(read.select("key", "kind", "a", "b", "c").distinct(), "keys")
     persons = keys.where("kind = 'person' and a <> ''").select("key", F.col("a").alias("given"), F.col("b").alias("family"))
@@ -256,10 +317,14 @@ def variant_groups(docs: DataFrame, nicknames: DataFrame, author_col: str = "aut
         r = right.select(F.col("key").alias("other"), F.col(by).alias("b"), *on)
         return left.join(both, left[by] == both.a).join(r, ["b", *on]).where("key <> other").select("key", "other", "d")
 
-    close = link(persons, persons, "family", ["given"]).unionByName(link(firms, firms, "name", ["trade", "legal"])).where("d <= 1")
-    # an error in a given name too short for its list: the same family name, and one error from a given name that is known
-    other = persons.select(F.col("key").alias("other"), F.col("given").alias("other_given"), "family")
-    slips = persons.where(~F.col("given").isin([*given.value])).join(other, "family").where("key <> other and levenshtein(given, other_given, 2) between 0 and 2")
+    close = link(persons, persons, "family", ["given"]).unionByName(link(firms, firms, "name", ["trade", "legal"]))
+    # an error in a given name that isn't known: the same family name, and one error from another's given name. Two names with one
+    # error share a form with a letter left out, so these are looked up with the family name
+    less = F.transform(F.sequence(F.lit(1), F.length("given")), lambda i: F.concat(F.substring("given", F.lit(1), i - 1), F.substring("given", i + 1, F.length("given"))))
+    forms = persons.select("key", "given", "family", F.explode(F.array_distinct(F.concat(F.array("given"), less))).alias("form"))
+    strange = forms.join(given.select(F.col("word").alias("given")), "given", "left_anti")
+    other = forms.select(F.col("key").alias("other"), F.col("given").alias("other_given"), "family", "form")
+    slips = strange.join(other, ["family", "form"]).where("key <> other").select("key", "other", "given", "other_given").distinct()
 
     def verify():
         def f(batch: pa.RecordBatch) -> dict:
@@ -277,10 +342,12 @@ def variant_groups(docs: DataFrame, nicknames: DataFrame, author_col: str = "aut
     loose = link(initials, whole, "family", ["letter"])
     named = rooted(firms.where("legal <> ''")).select(F.col("root").alias("key"), "name", "trade").distinct()
     loose = loose.unionByName(link(rooted(firms.where("legal = ''")).select(F.col("root").alias("key"), "name", "trade").distinct(), named, "name", ["trade"]))
-    best = loose.where("d <= 1").groupBy("key").agg(F.min("d").alias("d"))
+    loose = cut(loose, "loose")
+    best = loose.groupBy("key").agg(F.min("d").alias("d"))
     fits = loose.join(best, ["key", "d"]).groupBy("key").agg(F.min("other").alias("other"), F.count_distinct("other").alias("n")).where("n = 1").select("key", "other")
-    # initials that fit nobody are joined to each other by their key alone
-    all_links = close.select("key", "other").unionByName(fits)
+    # initials that fit nobody are joined to each other
+    lonely = initials.join(loose.select("key"), "key", "left_anti")
+    all_links = close.select("key", "other").unionByName(fits).unionByName(link(lonely, lonely, "family", ["letter"]).select("key", "other"))
     entity = components(all_links, "key", "other").withColumnRenamed("node", "key")
     return read.join(entity, "key", "left").select("author", F.coalesce("root", "key").alias("entity"))
 
