@@ -1,10 +1,16 @@
 """Markup residue in text documents (problem 5).
 
 A text with HTML, Markdown, wiki or LaTeX constructs is parsed to a tree of nodes (headings, paragraphs,
-lists, items, tables, rows, code blocks, formulas, links, hidden parts), whatever mixture of notations it
-has. Each node is content or residue. A tree-structured graphical model joins each node's evidence
-and that of its parent and children; sum-product messages go up and down the tree, and nodes whose
-marginal says residue are left out. The potentials are counted on labelled pages.
+lists, items, tables, rows, code blocks, formulas, links, hidden parts, and a mark for each kind of
+construct), whatever mixture of notations it has. Each node is content or residue. A tree-structured
+graphical model joins each node's evidence and that of its parent and children; sum-product messages
+go up and down the tree. A document is found if the marginal of one of its marks says residue, and
+nodes whose marginal says so are left out of its clean text.
+
+The potentials are counted on labelled pages: documents of the corpus without any sign of markup, a
+bounded sample, that are written as pages in one of the notations with navigation, scripts, footers
+and the like around them, and with sentences that use such signs plainly. They are read by the same
+parser, and a node is labelled by whether its words are the document's, not by what the model sees.
 
 Defined cases: null ids are left out; null and empty texts have no markup; repeated rows
 give repeated results; an empty table gives an empty result; extra columns are ignored; texts are
@@ -32,7 +38,7 @@ from lodestone.runtime import map_arrow
 ELEMENTS = "a abbr address article aside audio b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math meta nav noscript nowiki object ol optgroup option p param pre q ref s samp script section select small source span strike strong style sub summary sup syntaxhighlight table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 BLOCKS = {*"address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()}
 VOID = {*"br hr img input link meta col source track wbr param embed".split()}
-HIDDEN = {*"script style template noscript head iframe object button select textarea".split()}
+HIDDEN = {*"script style template head iframe object button select".split()}
 _NAMES = "|".join(sorted(ELEMENTS.split(), key=len, reverse=True))
 
 TAG = re.compile(rf"</?(?:{_NAMES})(?:\s[^<>]*)?/?>|<!--|<!doctype\b[^<>]*>|<!\[CDATA\[", re.I)
@@ -46,8 +52,8 @@ CONSTRUCTS = {
         r"!?\[[^\]\[\n]+\]\([^()\s]+(?: \"[^\"\n]*\")?\)",
         r"(?<![\w*])\*{2,3}[^\s*](?:[^*\n]*[^\s*])?\*{2,3}(?![\w*])",
         r"(?<![\w_])__[^\s_](?:[^_\n]*[^\s_])?__(?![\w_])",
-        r"(?<![\w*/])\*[^\s*](?:[^*\n]{0,200}[^\s*])?\*(?![\w*])",
-        r"(?<![\w_/.])_[^\s_](?:[^_\n]{0,200}[^\s_])?_(?![\w_])",
+        r"(?<![\w*/])\*[^\s*](?:[^*\n]*[^\s*])?\*(?![\w*])",
+        r"(?<![\w_/.])_[^\s_](?:[^_\n]*[^\s_])?_(?![\w_])",
         r"^[ \t]*(?:```|~~~)",
         r"(?<!`)`[^`\n]+`(?!`)",
         r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$",
@@ -92,19 +98,17 @@ _COMPILED = {k: [re.compile(x, re.M | re.S if x.startswith((r"\\\[", r"\$\$")) e
 HINT = re.compile(r"[<&*#\[\\`~|{$_^=']|//|^h[1-6]\. |---", re.M)
 
 
-def notations(text: str) -> dict[str, int]:
-    """The notations whose constructs a text holds, with the number of kinds of constructs."""
-    out = {}
+def marks(text: str) -> list[tuple[str, int]]:
+    """The kinds of constructs a text holds: notation and number of the kind in it."""
+    out: list[tuple[str, int]] = []
     if not HINT.search(text):
         return out
-    n = bool(TAG.search(text)) + any(m[0][1] == "#" or m[0][1:] in html5 for m in ENTITY.finditer(text))
-    if n:
-        out["html"] = n
+    if TAG.search(text):
+        out.append(("html", 0))
+    if any(m[0][1] == "#" or m[0][1:] in html5 for m in ENTITY.finditer(text)):
+        out.append(("html", 1))
     plain = PATHS.sub(" ", text) if "\\" in text else text
-    for name, patterns in _COMPILED.items():
-        if n := sum(1 for p in patterns if p.search(plain)):
-            out[name] = n
-    return out
+    return out + [(name, i) for name, patterns in _COMPILED.items() for i, p in enumerate(patterns) if p.search(plain)]
 
 
 @dataclass
@@ -191,7 +195,7 @@ class _Dom(HTMLParser):
         if not raw.strip():
             return
         node = self.tree.nodes[at]
-        if tag in ("pre", "code", "syntaxhighlight", "textarea") or any(t == "pre" for _, t in self.stack):
+        if tag in ("pre", "code", "syntaxhighlight") or any(t == "pre" for _, t in self.stack):
             self.tree.add("code", at, raw.strip("\n"), hidden=hidden)
         elif tag == "math" or node.kind == "formula":
             self.tree.add("formula", at, raw.strip(), hidden=hidden)
@@ -209,7 +213,7 @@ class _Dom(HTMLParser):
         if tag == "a":
             self.link += 1
         formula = ("class", "math") in attrs or tag == "math"
-        if tag not in BLOCKS and tag not in HIDDEN and not formula and tag != "syntaxhighlight" and not (tag == "code" and not "".join(self.buffer).strip()):
+        if tag not in BLOCKS and tag not in HIDDEN and tag not in ("textarea", "noscript") and not formula and tag != "syntaxhighlight" and not (tag == "code" and not "".join(self.buffer).strip()):
             return
         self.flush()
         if tag in ("li", "p", "tr", "td", "th", "dt", "dd", "option"):  # these close what was left open
@@ -220,7 +224,7 @@ class _Dom(HTMLParser):
             self.stack.pop()
         if tag in VOID or len(self.stack) > 200:
             return
-        kind = "formula" if formula else {"ul": "list", "ol": "numbered", "li": "item", "table": "table", "tr": "row", "td": "cell", "th": "cell", "pre": "pre", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(tag, "hidden" if tag in HIDDEN else "heading" if re.fullmatch("h[1-6]", tag) else "block")
+        kind = "formula" if formula else {"ul": "list", "ol": "numbered", "li": "item", "table": "table", "tr": "row", "td": "cell", "th": "cell", "pre": "pre", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "textarea": "textarea", "noscript": "noscript"}.get(tag, "hidden" if tag in HIDDEN else "heading" if re.fullmatch("h[1-6]", tag) else "block")
         at = self.tree.add(kind, self.stack[-1][0], level=int(tag[1]) if kind == "heading" else 0, hidden=tag in HIDDEN)
         self.stack.append((at, "math" if formula else tag))
         self.names = [*getattr(self, "names", []), tag]
@@ -311,7 +315,7 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
         if s.startswith(("$$", "\\[", "\\begin{equation", "\\begin{align", "\\begin{displaymath")) and (m := _FORMULA.fullmatch(line)):
             formula, done = [m[1]], bool(m[2])
             j = i
-            while not done and j < len(lines) and j < i + 50:
+            while not done and j < len(lines):
                 end = _UNFORMULA.fullmatch(lines[j])
                 formula.append(end[1] if end else lines[j])
                 done = bool(end)
@@ -410,8 +414,11 @@ def parse_lines(raw: str, tree: Tree, at: int, linked: int = 0) -> None:
     close()
 
 
-def parse(text: str) -> Tree:
+def parse(text: str, found: list[tuple[str, int]] | None = None) -> Tree:
+    """The tree of a text; its marks are the first children of the root."""
     tree = Tree()
+    for name, i in marks(text) if found is None else found:
+        tree.add(f"mark {name} {i}", 0)
     if TAG.search(text) or ENTITY.search(text):
         # code and formulas of wiki text, and addresses in angles, aren't elements
         text = re.sub(r"<([\w.+-]+@[\w.-]+|https?://[^<>\s]+)>", r"&lt;\1&gt;", text)
@@ -432,8 +439,11 @@ def parse(text: str) -> Tree:
 
 
 def features(tree: Tree) -> list[tuple]:
-    """Evidence of each node: its kind, length, share of linked characters, ending, and hiddenness."""
+    """Evidence of each node: its kind, length, share of linked characters, ending, digits, hiddenness, and what part of a page it is in."""
     nodes = tree.nodes
+    part = [""] * len(nodes)
+    for i, x in enumerate(nodes):
+        part[i] = x.kind if x.kind in ("nav", "header", "footer", "aside", "form", "hidden") else part[x.parent] if i else ""
     size, linked = [len(x.text) for x in nodes], [x.linked for x in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         size[nodes[i].parent] += size[i]
@@ -442,7 +452,10 @@ def features(tree: Tree) -> list[tuple]:
     for i, x in enumerate(nodes):
         length = 0 if not size[i] else 1 if size[i] < 25 else 2 if size[i] < 120 else 3
         density = round(min(1.0, linked[i] / size[i]) * 3) if size[i] else 0
-        out.append((("kind", x.kind), ("length", length), ("density", density), ("ends", x.text.rstrip()[-1:] in ".!?:;。”“»" if x.text else None), ("hidden", x.hidden)))
+        if x.kind.startswith("mark "):
+            out.append((("kind", x.kind),))
+            continue
+        out.append((("kind", x.kind), ("length", length), ("density", density), ("ends", x.text.rstrip()[-1:] in ".!?:;。”“»" if x.text else None), ("digits", any(map(str.isdigit, x.text))), ("hidden", x.hidden), ("inside", part[i])))
     return out
 
 
@@ -454,6 +467,8 @@ class Model:
         self.edge = [[1.0, 1.0], [1.0, 1.0]]
         self.root = [1.0, 1.0]
         totals = [1.0, 1.0]
+        # a construct that no page shows is markup, as its notation's grammar has it
+        seen |= {("kind", f"mark {n} {i}"): [2.0, 0.02] for n, k in [("html", 2), *((n, len(p)) for n, p in CONSTRUCTS.items())] for i in range(k)}
         for tree, labels in pages:
             self.root[labels[0]] += 1
             for x, fs, s in zip(tree.nodes, features(tree), labels):
@@ -496,71 +511,126 @@ def _logsum(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def labelled_pages(count: int, seed: int = 5) -> list[tuple[Tree, list[int]]]:
-    """Pages made at random with a label for each node: 1 for content, 0 for navigation, scripts, forms and footers."""
-    rnd = random.Random(seed)
-    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(rnd.randint(a, b)))
-    pages = []
-    for _ in range(count):
-        tree, labels = Tree(), [1]
-
-        def add(kind, parent, label, text="", linked=0.0, **more):
-            labels.append(label)
-            return tree.add(kind, parent, text, linked=int(len(text) * linked), **more)
-
-        def content(at):
-            pick = rnd.random()
+# What stands around the text of pages, and sentences that use signs of markup plainly (fixed values).
+CHROME = ["Home", "Contact", "Log in", "Search", "Menu", "About us", "Next page", "Previous", "Print this page", "Share", "Privacy", "Terms of use", "Site map", "All rights reserved.", "© 2024 Example Ltd", "Accept cookies", "Subscribe to our newsletter", "Follow us", "Back to top", "Read more"]
+PLAIN = ["We ordered 3 * 4 boxes, so 12 in all.", "The cost is between $5 and $7.", "Keep it < 30 bar and > 28 bar.", "Deliver to unit # 38 and ring.", "Ask R&D or Q&A about it.", "See [5] and {2, 3} for it.", "The file is plan_v3_final here.", "Sum: 62 + 5 = 67 in total.", "Output ~83% | target 42% | next in May."]
+_BARE = lambda x: " ".join(re.findall(r"[^\W_]+", x.casefold()))
+
+
+def _page(rnd: random.Random, text: str) -> tuple[str, str]:
+    """(page, content): a clean text written in one notation, with chrome around it in HTML; content is what is to be kept."""
+    pieces = [x.strip() for x in re.split(r"\n+|(?<=[.!?]) (?=\w)", text) if re.search(r"\w", x)]
+    pieces = [y for x in pieces for y in ([x, rnd.choice(PLAIN)] if rnd.random() < 0.1 else [x])]
+    # headings, cells and items are short, and have no full stop
+    pieces = [" ".join(x.split(" ")[: rnd.randint(1, 5)]) if rnd.random() < 0.3 else x for x in pieces]
+    pieces = [x for x in (x.rstrip(".!?;:") if rnd.random() < 0.5 else x for x in pieces) if re.search(r"\w", x)]
+    kind = rnd.choice(["html", "html", "html", "markdown", "wiki", "latex"])
+    esc = html.escape if kind == "html" else str
+    strong = {"html": "<b>{}</b>", "markdown": "**{}**", "wiki": "'''{}'''", "latex": "\\textbf{{{}}}"}[kind]
+    link = {"html": '<a href="/x">{}</a>', "markdown": "[{}](x.md)", "wiki": "[[Page|{}]]", "latex": "\\emph{{{}}}"}[kind]
+
+    def inline_marks(x: str) -> str:
+        words = x.split(" ")
+        if rnd.random() < 0.4:
+            i = rnd.randrange(len(words))
+            if re.fullmatch(r"\w+", words[i]):
+                words[i] = rnd.choice([strong, link]).format(words[i])
+                return " ".join(w if k == i else esc(w) for k, w in enumerate(words))
+        return link.format(esc(x)) if rnd.random() < 0.15 and "[" not in x else esc(x)
+
+    def block(some: list[str]) -> str:
+        pick = rnd.random()
+        if kind == "html" and pick > 0.9:
+            return "<ul>" + "".join(f"<li>{link.format(esc(x))}</li>" for x in some) + "</ul>"
+        lines = [inline_marks(x) for x in some]
+        if 0.57 < pick < 0.65:
+            return {"html": "<pre><code>{}</code></pre>", "markdown": "```\n{}\n```", "wiki": "<code>\n{}\n</code>", "latex": "\\begin{{verbatim}}\n{}\n\\end{{verbatim}}"}[kind].format("\n".join(map(esc, some)))
+        if 0.65 < pick < 0.7:
+            return {"html": '<span class="math">{}</span>', "markdown": "$${}$$", "wiki": "<math>{}</math>", "latex": "\\[ {} \\]"}[kind].format(esc(some[0])) + ("\n\n" if kind != "html" else "") + "\n\n".join(lines[1:])
+        if kind == "html":
             if pick < 0.15:
-                add("text", add("heading", at, 1, level=2), 1, words(2, 9))
-            elif pick < 0.3:
-                outer = add(rnd.choice(["list", "numbered"]), at, 1)
-                for _ in range(rnd.randint(1, 6)):
-                    add("text", add("item", outer, 1), 1, words(2, 20) + rnd.choice([".", ""]), rnd.choice([0, 0, 0.2]))
-            elif pick < 0.4:
-                outer = add("table", at, 1)
-                for _ in range(rnd.randint(1, 5)):
-                    r = add("row", outer, 1)
-                    for _ in range(rnd.randint(2, 4)):
-                        add("text", add("cell", r, 1), 1, rnd.choice([words(1, 3), str(rnd.randint(1, 9999))]))
-            elif pick < 0.48:
-                add("code", add("pre", at, 1) if rnd.random() < 0.6 else at, 1, words(3, 30))
-            elif pick < 0.55:
-                add("formula", at, 1, words(1, 4))
-            else:
-                outer = add("block", at, 1) if rnd.random() < 0.6 else at
-                add("text", outer, 1, words(6, 90) + rnd.choice([".", ".", "!", "?", ":", ""]), rnd.choice([0, 0, 0.1, 0.3]))
-
-        def residue(at):
-            pick = rnd.random()
-            if pick < 0.4:
-                outer = add(rnd.choice(["nav", "header", "list", "footer", "aside", "block"]), at, 0)
-                for _ in range(rnd.randint(2, 8)):
-                    add("text", add("item", outer, 0), 0, words(1, 3), 1.0)
-            elif pick < 0.75:
-                add("text", add("hidden", at, 0, hidden=True), 0, words(1, 30), hidden=True)
-            elif pick < 0.9:
-                add("text", add("footer", at, 0), 0, words(2, 8), rnd.choice([0, 0.7]))
-            else:
-                add("text", add("form", at, 0), 0, words(1, 4))
-
-        body = add("block", 0, 1) if rnd.random() < 0.5 else 0
-        for _ in range(rnd.randint(1, 14)):
-            (residue if rnd.random() < 0.18 else content)(rnd.choice([0, body]))
-        pages.append((tree, labels))
-    return pages
-
-
-#: Pages the model is trained on.
-TRAINING_PAGES = 400
+                return f"<h2>{lines[0]}</h2>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+            if pick < 0.35:
+                return "<ul>" + "".join(f"<li>{x}</li>" for x in lines) + "</ul>"
+            if pick < 0.45:
+                return "<table>" + "".join(f"<tr><td>{i}</td><td>{x}</td></tr>" for i, x in enumerate(lines)) + "</table>"
+            if pick < 0.57:
+                return "".join(f"<{t}>{x}</{t}>" for t, x in zip(("textarea", "noscript", "blockquote", "div"), lines * 4) if rnd.random() < 0.6) + "".join(f"<p>{x}</p>" for x in lines)
+            return "".join(f"<p>{x}</p>" for x in lines)
+        item, head = {"markdown": ("- {}", "## {}"), "wiki": ("* {}", "== {} =="), "latex": ("\\item {}", "\\section{{{}}}")}[kind]
+        if pick < 0.3:
+            listed = "\n".join(item.format(x) for x in lines)
+            return f"\\begin{{itemize}}\n{listed}\n\\end{{itemize}}" if kind == "latex" else listed
+        return (head.format(lines[0]) + "\n\n" if pick < 0.5 else "") + "\n\n".join(lines[pick < 0.5 :])
+
+    blocks, at = [], 0
+    while at < len(pieces):
+        n = rnd.randint(1, 4)
+        blocks.append(block(pieces[at : at + n]))
+        at += n
+    if kind != "html":
+        return "\n\n".join(blocks), " ".join(pieces)
+    some = lambda a, b: rnd.sample(CHROME, rnd.randint(a, b))
+    links = lambda a, b: " ".join(f'<a href="/{i}">{x}</a>' for i, x in enumerate(some(a, b)))
+    listed = lambda a, b: "<ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(some(a, b))) + "</ul>"
+    extra = [f"<nav>{links(2, 6)}</nav>", f"<nav>{listed(2, 6)}</nav>", f"<header>{links(1, 3)}</header>", f"<div>{links(2, 6)}</div>", f"<footer><p>{' '.join(some(1, 3))}</p></footer>", f"<aside>{listed(1, 4)}</aside>", "<script>var a = 1; if (a) { run('x'); }</script>", "<style>p { color: red }</style>", f"<form><label>{some(1, 1)[0]}</label><select><option>one</option></select><button>{some(1, 1)[0]}</button></form>"]
+    for x in rnd.sample(extra, rnd.randint(0, 5)):
+        blocks.insert(rnd.choice([0, len(blocks)]), x)
+    return "<html><head><title>t</title></head><body>" + "\n".join(blocks) + "</body></html>", " ".join(pieces)
+
+
+def labelled_pages(texts: list[str], seed: int = 5) -> list[tuple[Tree, list[int]]]:
+    """Pages made of clean texts, as the parser reads them, with a label for each node: 1 for content, if its words are the
+    text's or those of a node within it are; else 0 for what stands around it, and for marks. A text as it is has content only."""
+    rnd = random.Random(seed)
+    out = []
+    for text in texts:
+        page, content = _page(rnd, text)
+        if rnd.random() < 0.1:
+            page = content = text + "\n" + rnd.choice(PLAIN)
+        tree, whole = parse(page), f" {_BARE(content)} "
+        labels = [0] * len(tree.nodes)
+        for i in range(len(tree.nodes) - 1, -1, -1):
+            x = tree.nodes[i]
+            bare = _BARE(x.text)
+            labels[i] |= bool(bare) and f" {bare} " in whole and not x.hidden
+            if x.kind.startswith("mark "):
+                labels[i] = int(page == content)
+            elif labels[i] and x.parent > 0:
+                labels[x.parent] = 1
+        labels[0] = 1
+        out.append((tree, labels))
+    return out
+
+
+#: Clean documents the model is trained on, at most, and their length in characters; where there are too few, these sentences do (fixed values).
+TRAINING_PAGES, CLEAN_LENGTH = 400, (150, 6000)
+SENTENCES = ["The crew weighs the cards in the yard before noon", "Send the papers to the office every quarter", "Each pump is checked by the clerk", "The lease of the store ends in spring", "Two drivers signed for the boxes", "Nobody counted the keys last week", "The roof of the shed was repaired", "All invoices are kept for ten years"]
+
+
+def clean_sample(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """Texts without any sign of markup, a bounded sample by hash."""
+    rows = docs.select(F.col(text_col).alias("text")).where(F.length("text").between(*CLEAN_LENGTH) & ~F.col("text").rlike(_SIGNS))
+    return [x.text for x in rows.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(TRAINING_PAGES).select("text").collect()]
+
+
+def trained(texts: list[str]) -> Model:
+    rnd = random.Random(11)
+    more = [". ".join(rnd.choice(SENTENCES) + f" of {rnd.randint(2, 99)}" for _ in range(rnd.randint(3, 12))) + "." for _ in range(max(0, TRAINING_PAGES // 2 - len(texts)))]
+    return Model(labelled_pages([*texts, *more]))
 
 
 @lru_cache(1)
-def trained() -> Model:
-    return Model(labelled_pages(TRAINING_PAGES))
+def default_model() -> Model:
+    """The model without a corpus."""
+    return trained([])
+
 
+#: The least marginal a node is kept with: what is lost is worse than what stays.
+KEPT = 0.3
 
-def render(tree: Tree, keep: list[float], threshold: float = 0.5) -> list[tuple[str, int, str]]:
+
+def render(tree: Tree, keep: list[float], threshold: float = KEPT) -> list[tuple[str, int, str]]:
     """Blocks (kind, level, text) of the nodes that are content, in order."""
     out: list[tuple[str, int, str]] = []
     nodes, numbers = tree.nodes, {}
@@ -610,26 +680,32 @@ def written(blocks: list[tuple[str, int, str]]) -> str:
 
 def convert(text: str, model: Model | None = None) -> tuple[list[str], str, list[tuple[str, int, str]]] | None:
     """(notations, clean text, blocks) of a text with markup; None for a text without."""
-    found = notations(text)
+    found = marks(text)
     if not found:
         return None
-    tree = parse(text.replace("\r\n", "\n").replace("\r", "\n"))
-    blocks = render(tree, (model or trained()).marginals(tree))
-    return sorted(found), written(blocks), blocks
+    model = model or default_model()
+    tree = parse(text.replace("\r\n", "\n").replace("\r", "\n"), found)
+    keep = model.marginals(tree)
+    residue = {name for (name, _), p in zip(found, keep[1:]) if p < 0.5}
+    if not residue:
+        return None
+    blocks = render(tree, keep)
+    return sorted(residue), written(blocks), blocks
 
 
 #: A cheap test in the JVM: a text without any of these signs has no construct.
 _SIGNS = r"[<&*#\[\\`~|{$_^=']|//|---|(?m)^h[1-6]\. "
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, notations, text, blocks) of the records whose text holds markup: the notations found, the clean
     text, and its blocks as (kind, level, text), kind being heading, item, row, code, formula or text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(_SIGNS))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model or trained(clean_sample(docs, text_col)))
 
     def make():
-        model = trained()
+        model = shared.value
 
         def f(batch: pa.RecordBatch) -> dict:
             out = [(i, *got) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (got := convert(t, model))]
