@@ -49,8 +49,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
     except Exception:  # the session may be gone already
         pass
 
@@ -72,6 +71,46 @@ def drop_cuts() -> None:
 atexit.register(drop_cuts)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder of any file system holds; none if there is no such folder."""
+    fs, p = _at(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, under its name only when complete; False if there is one of that name already."""
+    fs, p = _at(spark, path)
+    if fs.exists(p):
+        return False
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(new)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    try:
+        return bool(fs.rename(new, p))
+    finally:
+        fs.delete(new, False)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return bool(fs.delete(p, True))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow with one worker object a task: make() -> f(batch) -> columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -15,7 +15,10 @@ from lodestone.sources import pdf
 TEXT = {*".txt .md .markdown .csv .tsv .json .log .rtf .ini .cfg .yml .yaml .srt .vtt".split()}
 MARKUP = {*".html .htm .xml .xhtml .svg".split()}
 OFFICE = {*".docx .docm .xlsx .xlsm .pptx .pptm".split()}
-LEGACY = {*".doc .xls .ppt .wpd .pub .msg .one".split()}
+LEGACY = {
+    ".doc": "open it in a word processor and save it as .docx", ".xls": "open it in a spreadsheet and save it as .xlsx", ".ppt": "open it in a presentation program and save it as .pptx", ".wpd": "save it as .docx or PDF",
+    ".pub": "export it as PDF", ".msg": "save the message as text or PDF", ".one": "export the pages as PDF or .docx",
+}
 READ = TEXT | MARKUP | OFFICE | {".pdf"}
 LARGEST, LARGEST_PART, LONGEST = 40 << 20, 80 << 20, 1_500_000
 
@@ -30,22 +33,34 @@ def decode(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+# Spaces that are one to a reader, parts of pages that aren't shown, and tags that end a line (fixed values).
+SPACES = " \t\u00a0\u2007\u202f"
+UNSEEN, LINE_ENDS = ("script", "style", "head"), "p div br li tr h1 h2 h3 h4 h5 h6 section article"
+
+
 def tidy(text: str) -> str:
-    text = unicodedata.normalize("NFC", re.sub("\r\n?", "\n", text).replace("\0", " "))
-    text = re.sub(" *\n *", "\n", re.sub("[ \t\u00a0\u2007\u202f]+", " ", text))
-    return re.sub("\n{3,}", "\n\n", text).strip()[:LONGEST]
+    """Text in canonical composition, with even spaces and at most one blank line in a row."""
+    whole = unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").replace("\0", " "))
+    even, out = str.maketrans(dict.fromkeys(SPACES, " ")), []
+    for line in whole.split("\n"):
+        line = re.sub(" {2,}", " ", line.translate(even)).strip(" ")
+        if line or out and out[-1]:
+            out.append(line)
+    return "\n".join(out).strip()
 
 
 def strip_markup(text: str) -> str:
-    for pattern, new in ((r"(?is)<(script|style|head)\b.*?</\1>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</(?:p|div|br|li|tr|h[1-6]|section|article)\s*>|<br\s*/?>", "\n"), (r"(?s)<[^>]{0,4000}>", " ")):
-        text = re.sub(pattern, new, text)
-    return html.unescape(text)
+    for name in UNSEEN:
+        text = re.sub(rf"(?is)<{name}\b.*?</{name}>", " ", text)
+    ends = "|".join(LINE_ENDS.split())
+    text = re.sub(rf"(?i)</(?:{ends})\s*>|<br\s*/?>", "\n", re.sub(r"(?s)<!--.*?-->", " ", text))
+    return html.unescape(re.sub(r"(?s)<[^>]{0,4000}>", " ", text))
 
 
 def real_words(text: str) -> bool:
     """12 characters or more, and at least 45 in a hundred of them letters or digits."""
-    shown = "".join(text.split())
-    return len(shown) >= 12 and sum(map(str.isalnum, shown)) >= 0.45 * len(shown)
+    shown = sum(not c.isspace() for c in text)
+    return shown >= 12 and 100 * sum(map(str.isalnum, text)) >= 45 * shown
 
 
 def _parts(archive: zipfile.ZipFile, pattern: str) -> list[str]:
@@ -113,11 +128,12 @@ def author(archive: zipfile.ZipFile) -> str | None:
     return (found.get("creator") or found.get("lastModifiedBy") or "")[:120] or None
 
 
-def extract(data: bytes, ext: str) -> tuple[str, str, str | None, str | None]:
-    """(status, text, reason, author): status is ok, unreadable or skipped."""
+def extract(data: bytes, ext: str, longest: int | None = LONGEST) -> tuple[str, str, str | None, str | None]:
+    """(status, text, reason, author): status is ok, unreadable or skipped. longest: characters of a text that are kept (None: all);
+    the reason of a readable file says so if its text is longer."""
     ext, who, reason = ext.lower(), None, None
     if ext in LEGACY:
-        return "unreadable", "", f"{ext} is an old or closed format: save it in a newer one", None
+        return "unreadable", "", f"{ext} is an old or closed format: {LEGACY[ext]}", None
     if ext not in READ:
         return "skipped", "", f"{ext or 'files without extension'} files are not read", None
     if not data:
@@ -142,4 +158,6 @@ def extract(data: bytes, ext: str) -> tuple[str, str, str | None, str | None]:
         return "unreadable", "", reason, who
     if not text.split() or ext == ".pdf" and not real_words(text):
         return "unreadable", "", "no words in it", who
+    if longest is not None and len(text) > longest:
+        return "ok", text[:longest], f"only the first {longest} of {len(text)} characters are kept", who
     return "ok", text, None, who

@@ -184,8 +184,9 @@ def content_text(data: bytes, fonts: dict[bytes, dict[bytes, str]]) -> str:
             if row is not None and abs(_number(args[-1]) - row) > 0.1:
                 line()
             row = _number(args[-1])
-        elif token == b"ET":
+        elif token in (b"BT", b"ET"):
             line()
+            row = None
         args = []
     return "".join(out)
 

@@ -393,40 +393,83 @@ def test_entry(spark):
     assert e.entry(spark).columns and {*e.oracle_sql()} <= {*e.queries()}
 
 
-def test_settings(tmp_path):
-    from lodestone.plans.knowledge_base import Settings, SettingsStore
+def test_settings(spark, tmp_path):
+    from lodestone.plans.knowledge_base import Conflict, Settings, SettingsStore
 
-    store = SettingsStore(str(tmp_path / "s"))
-    store.save(Settings("a1", "First"))
+    store = SettingsStore(spark, str(tmp_path / "s"))
+    first = store.save(Settings("a1", "First"))
     store.patch("b2", name="Second", near_threshold=0.6, weights={"readable": 2, "other": 1})
-    assert [x.kb_id for x in store.all()][0] in ("a1", "b2") and store.get("b2").weights == {"readable": 2.0}
+    assert [x.kb_id for x in store.all()][0] in ("a1", "b2") and store.get("b2").weights == {"readable": 2.0} and len(store.all(1)) == 1
+    store.patch("a1", notes="by somebody else")
+    with pytest.raises(Conflict):
+        store.save(first)  # read before that
+    assert (store.get("a1").notes, store.get("a1").version) == ("by somebody else", 2)
     for bad in ({"near_threshold": 0.01}, {"near_threshold": 2}, {"weights": {"readable": -1}}, {"weights": {"unique": float("inf")}}):
         with pytest.raises(ValueError):
             store.patch("a1", **bad)
     with pytest.raises(ValueError):
         store.get("../x")
-    assert store.delete("a1") and not store.delete("a1") and store.get("a1") is None
+    assert store.delete("a1") and not store.delete("a1") and store.get("a1") is None and store.clear() == 1 and store.all() == []
 
 
 def test_rescan(spark, tmp_path):
-    from lodestone.plans.knowledge_base import Library, unreadable_folders
+    from lodestone.plans.knowledge_base import Library, SettingsStore
 
     root = tmp_path / "share"
     (root / "sub").mkdir(parents=True)
     for name, body in {"a.txt": "price list of pipes", "sub/b.txt": "roof manual", "c.png": "x", "d.txt": ""}.items():
         (root / name).write_text(body)
     before = {p: p.read_bytes() for p in root.rglob("*") if p.is_file()}
-    library = Library(spark, str(tmp_path / "library"))
-    assert library.rescan(str(root), "k1") == {"ok": 2, "skipped": 1, "unreadable": 1}
-    assert {p: p.read_bytes() for p in root.rglob("*") if p.is_file()} == before
+    library, store = Library(spark, str(tmp_path / "library")), SettingsStore(spark, str(tmp_path / "s"))
+    done = []
+    first = library.rescan(str(root), "k1", portions=2, on_progress=lambda *x: done.append(x), settings=store)
+    assert (first.counts, first.read, first.problems, first.partial, done) == ({"ok": 2, "skipped": 1, "unreadable": 1}, 4, [], False, [(1, 2), (2, 2)])
+    assert {p: p.read_bytes() for p in root.rglob("*") if p.is_file()} == before and not store.get("k1").is_partial
     found = lambda q: [x.rel for x in search.search(library.read("postings"), library.read("docs"), q).orderBy("rank").collect()]
     assert found("roof") == ["sub/b.txt"] and found("price") == ["a.txt"]
     (root / "sub/b.txt").write_text("a wall manual, changed")
     (root / "a.txt").unlink()
     (root / "e.txt").write_text("roof beams")
-    assert library.rescan(str(root), "k1") == {"ok": 2, "skipped": 1, "unreadable": 1}
+    stopped = library.rescan(str(root), "k1", portions=8, stop=lambda: True, settings=store)
+    assert stopped.partial and store.get("k1").is_partial and found("price") == ["a.txt"]  # nothing is dropped
+    second = library.rescan(str(root), "k1", settings=store)
+    assert second.counts == {"ok": 2, "skipped": 1, "unreadable": 1} and second.read <= 2 and not store.get("k1").is_partial
     assert found("roof") == ["e.txt"] and found("price") == [] and found("wall") == ["sub/b.txt"]
     assert rows(library.read("postings").select("doc_id", "term", "tf")) == rows(index.postings(library.read("docs")).select("doc_id", "term", "tf"))
     library.drop("k1")
     assert library.kbs() == [] and library.read("docs") is None
-    assert unreadable_folders(str(root)) == []
+
+
+def test_walk(spark, tmp_path, monkeypatch):
+    """The tree is walked level by level; a folder that can't be opened is told, an ignored one isn't looked into, links aren't followed."""
+    for name in ("a/b/c/deep.txt", "a/x.txt", ".git/no.txt", "top.txt", "shut/in.txt"):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text("some words here")
+    (tmp_path / "r/a/loop").symlink_to(tmp_path / "r")
+    inner = files._lister
+
+    def lister():
+        one = inner()
+        return lambda p: [(p, True, 0, 0, "Permission denied")] if p.endswith("/shut") else one(p)
+
+    monkeypatch.setattr(files, "_lister", lister)
+    found = files.look(spark, str(tmp_path / "r"), "k")
+    assert {x.rel for x in found.seen.collect()} == {"a/b/c/deep.txt", "a/x.txt", "top.txt"}
+    assert [(x.path.rsplit("/", 1)[-1], x.reason) for x in found.problems.collect()] == [("shut", "Permission denied")]
+    assert {x.rel for x in found.records.collect()} == {"a/b/c/deep.txt", "a/x.txt", "top.txt"}
+    assert files.look(spark, str(tmp_path / "none"), "k").problems.count() == 1
+
+
+def test_formats(tmp_path):
+    """Golden texts of every kind of file; legacy formats have advice; a text that is cut says so."""
+    golden = {
+        ".txt": ("Größe 5".encode(), "Größe 5"), ".md": (b"# A\r\n\r\n\r\n\r\nb", "# A\n\nb"), ".csv": (b"a,b\n1,2", "a,b\n1,2"), ".json": (b'{"a": 1}', '{"a": 1}'), ".log": (b"\xef\xbb\xbfx  y", "x y"),
+        ".html": (b"<head>h</head><h1>Title</h1><p>one &amp; two</p><ul><li>x<li>y</ul>", "Title\none & two\nx y"), ".xml": (b"<a><b>text</b> more</a>", "text more"), ".svg": (b"<svg><text>label here</text></svg>", "label here"),
+    }
+    for ext, (data, text) in golden.items():
+        assert extract.extract(data, ext) == ("ok", text, None, None), ext
+    for ext, advice in extract.LEGACY.items():
+        status, text, reason, _ = extract.extract(b"x", ext)
+        assert (status, text) == ("unreadable", "") and advice in reason
+    assert extract.extract(b"word " * 100, ".txt", longest=9) == ("ok", "word word", "only the first 9 of 499 characters are kept", None)
+    assert not extract.real_words("?!* -- 12 $$ %% ## &&") and extract.real_words("twelve letters")
