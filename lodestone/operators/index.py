@@ -19,6 +19,8 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     depend on how rows arrive. Tables with null keys keep one row of these too."""
     rest = [c for c in (columns or docs.columns) if c not in KEY]
     rows = docs.select(*KEY, *rest)
+    if getattr(docs, "_distinct", False):  # a snapshot
+        return rows
     again = docs.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     same = lambda a, b: a.kb_id.eqNullSafe(b.kb_id) & a.doc_id.eqNullSafe(b.doc_id)
     single = rows.join(again, same(rows, again), "left_anti")
@@ -30,7 +32,9 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 def snapshot(docs: DataFrame) -> DataFrame:
     """documents(docs), written once to the shared folder; for plans that use texts in several parts."""
-    return cut(documents(docs), "snapshot")
+    out = cut(documents(docs), "snapshot")
+    out._distinct = True
+    return out
 
 
 def listed(docs: DataFrame, status: str | None = None, limit: int = 300) -> DataFrame:
