@@ -89,6 +89,11 @@ def shingles(w: Column, size: int = 5) -> Column:
     return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
+def normalised(text: Column) -> Column:
+    """The words of a text with single spaces between, case folded: what phrases are compared by."""
+    return F.trim(F.regexp_replace(casefolded(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def phrase_regex(phrase: str, loose: bool = False) -> str | None:
     """A Java pattern that finds a phrase's words next to each other, whatever signs are between, as whole words.
 

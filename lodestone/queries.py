@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import index, near_duplicates, search
 from lodestone.plans import report
 from lodestone.runtime import table
+from lodestone.sources import files
 
 NOW = 1_775_000_000
 QUERIES: dict = {}
@@ -424,6 +425,51 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return index.lookup(docs, kb, first or "").select("kb_id", "doc_id", "rel", "text", "text_cut")
 
 
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_TIDY = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')), chr(0), ' '), '[ \\t\\x{A0}\\x{2007}\\x{202F}]+', ' ', 'g'), ' *\\n *', chr(10), 'g'),"
+    f" '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+)
+_KINDS = [".txt", ".html", ".docx", ".md"]
+
+
+@query(
+    f"""with e as (select distinct doc_id, text, case when regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]') then '.txt' else {_KINDS!r}[1 + (strpos('0123456789abcdef', doc_id[1]) - 1) % 4] end as ext from docs where status = 'ok' and text <> ''),
+f as (select doc_id, ext, case when ext = '.txt' then regexp_replace(text, '^\\x{{FEFF}}', '') else text end as text from e)
+select doc_id, ext, case when {_TIDY} <> '' then 'ok' else 'unreadable' end as status, {_TIDY} as text from f"""
+)
+def extracted_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every readable text, written as the bytes of a text, HTML or Word file by its id, and read again by the extraction."""
+    import pandas as pd
+
+    def make(text: str, ext: str) -> bytes:
+        import html
+        import io
+        import zipfile
+
+        lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        if ext == ".html":
+            return ("<html><head><title>x</title></head><body>" + "".join(f"<p>{html.escape(x)}</p>" for x in lines) + "</body></html>").encode()
+        if ext == ".docx":
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", '<w:document xmlns:w="w">' + "".join(f"<w:p><w:r><w:t>{html.escape(x)}</w:t></w:r></w:p>" for x in lines) + "</w:document>")
+            return out.getvalue()
+        return text.encode("utf-8-sig" if ext == ".md" else "utf-8")
+
+    def written(batches):
+        for frame in batches:
+            content = [make(t, e) for t, e in zip(frame.pop("text"), frame.ext)]
+            yield frame.assign(content=content, size=pd.array([len(x) for x in content], "int64"))
+
+    controls = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.instr(F.lit("0123456789abcdef"), F.substring("doc_id", 1, 1)) - 1) % 4 + 1)
+    docs = index.documents(table(spark, sf, "docs"), "status", "text").where("status = 'ok' and text <> ''")
+    rows = docs.select("kb_id", F.col("doc_id").alias("rel"), F.col("doc_id").alias("path"), F.col("doc_id").alias("name"), F.lit("").alias("folder"), F.when(F.col("text").rlike(controls), ".txt").otherwise(kind).alias("ext"), F.lit(0).cast("long").alias("mtime"), "text")
+    listed = rows.mapInPandas(written, "kb_id string, rel string, path string, name string, folder string, ext string, mtime long, content binary, size long")
+    return files.records(listed).select(F.col("rel").alias("doc_id"), "ext", "status", "text")
+
+
 def _html_sql() -> str:
     x = "text"
     for name in ("script", "style", "head"):
