@@ -80,7 +80,7 @@ LINKS = re.compile(r"(?:[^|]{1,40}\|){2,}[^|]{1,40}|[\w’'-]+(?: {2,}[\w’'-]+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 # What is masked in forms, in this order; SQL's regular expressions mean the same by these (fixed values).
-MASKS = [(r"https?://[^\s]+|[^\s@]+@[^\s@]+|/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+", "@"), (r"[0-9][0-9.,:/-]*", "0"), ("[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][A-Za-zÀ-ÖØ-öø-ÿΑ-ωά-ώА-яЁё]*", "#"), (r"[ \t\r\n\f]+", " ")]
+MASKS = [(r"https?://[^\s]+|[^\s@]+@[^\s@]+|/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+", "@"), (r"[0-9][0-9.,:/-]*", "0"), ("[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][A-Za-zÀ-ÖØ-öø-ÿΑ-ωά-ώА-яЁё]*", "#"), (r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")]
 _MASKS = [(re.compile(a), b) for a, b in MASKS]
 # Words of pseudo-Latin, and rows of keys that fingers run along (fixed values).
 LATIN = {*"lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum vestibulum pellentesque curabitur vivamus".split()}
