@@ -7,6 +7,7 @@ have a total order, so that ties don't depend on how rows arrive.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -415,7 +416,10 @@ def sections(docs: DataFrame, kbs: DataFrame, checklist: DataFrame, now: int, we
     """All tables of the report by name, for every knowledge base. What several of them need (the documents, the finds of the
     checklist, near-duplicates, who names whom) is made once and written."""
     docs = snapshot(docs)
-    near, finds, verdicts = near_members(docs, kbs), cut(coverage_of_files(docs, checklist), "finds"), cut(references(docs), "verdicts")
+    # three parts of many small steps each, which don't wait for each other
+    parts = (lambda: near_members(docs, kbs), lambda: cut(coverage_of_files(docs, checklist), "finds"), lambda: cut(references(docs), "verdicts"))
+    with ThreadPoolExecutor(len(parts)) as pool:
+        near, finds, verdicts = pool.map(lambda f: f(), parts)
     cover = coverage(docs, checklist, finds)
     scores = cut(score(docs, checklist, now, near, weights, finds), "score")
     return {
@@ -435,17 +439,19 @@ def assembled(tables: dict[str, DataFrame]) -> DataFrame:
     """(kb_id, report): one report of each knowledge base as JSON: an object for each section of one row, a list for the others.
 
     A list has as many rows as its section's limit, or groups of unreadable files; it is gathered for one knowledge base each."""
-    out = tables["counts"].select("kb_id")
+    parts = []
     for name, rows in tables.items():
         rest = [c for c in rows.columns if c != "kb_id"]
-        if name in SINGLE:
-            one = rows.select("kb_id", F.struct(*rest).alias(name))
-        else:
-            keys = [c for c in ("kind", "item_key", "position", "rank", "key") if c in rest and (c != "kind" or name == "groups")]
-            ordered = [*keys, *[c for c in rest if c not in keys]]
-            one = rows.groupBy("kb_id").agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias(name))
-        out = out.join(one, "kb_id", "left")
-    return out.select("kb_id", F.to_json(F.struct(*tables), {"ignoreNullFields": "false"}).alias("report"))
+        keys = [c for c in ("kind", "item_key", "position", "rank", "key") if c in rest and (c != "kind" or name == "groups")]
+        one = F.struct(*keys, *[c for c in rest if c not in keys])
+        whole = F.first(one) if name in SINGLE else F.array_sort(F.collect_list(one))
+        body = rows.groupBy("kb_id").agg(whole.alias("x")).select("kb_id", F.lit(name).alias("name"), F.to_json("x", {"ignoreNullFields": "false"}).alias("body"))
+        parts.append(body)
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    # one shuffle puts all sections together
+    found = every.groupBy("kb_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "body"))).alias("of"))
+    fields = [F.concat(F.lit(f'"{name}":'), F.coalesce(F.col("of")[name], F.lit("null"))) for name in tables]
+    return found.select("kb_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("report"))
 
 
 def _cells(rows: list[dict]) -> list[str]:
