@@ -142,7 +142,9 @@ def judged_line(line: str, fielded: bool = True) -> tuple[int, str, int, int]:
     bits, first, sure, maybe = 0, "", 0, 0
     words = _WORD.findall(line.lower())
     if filler(line, words):
-        return FILLER, "", 0, 0
+        if not fielded:
+            return FILLER, "", 0, 0
+        bits = FILLER
     message, thing = _telling({*words}, line)
     if not fielded and not message:
         return 0, "", 0, 0
