@@ -37,7 +37,7 @@ NOTATIONS = [
 ]
 FIELD = re.compile("|".join(NOTATIONS), re.I)
 # A line that speaks of fields, messages or notices (fixed values).
-SPEAKS = re.compile(r"(?i)\b(?:template|placeholder|variable|macro|merge field|mail ?merge|type over|is filled|are filled|set \$\{|volume|vorlage|platzhalter|modèle|modelo|plantilla|copy of)\b|\bthe \[")
+SPEAKS = re.compile(r"(?i)\b(?:template|placeholder|variable|macro|merge[ -]?fields?|mail[ -]?merge|fields such as|type over|is filled|are filled|set \$\{|volume|vorlage|platzhalter|modèle|modelo|plantilla|copy of)\b|\bthe \[")
 # Forms of address and of parties (fixed values).
 ADDRESS = re.compile(r"(?i)^\W*(?:dear|hello|hi|to|attn|invoice to|bill to|ship to|prepared (?:for|by)|client|customer|name|company|address|date|amount|total|signed|signature|this (?:agreement|contract) is (?:made )?between|between|agreement between|sehr geehrte[rn]?|vertrag zwischen|rechnung an|kunde|madame|monsieur|entre|contrat entre|facture à|contrato entre|estimad[oa]s?|factura a|prezad[oa]s?|fatura para|para|von|an)\b")
 # Signs of error pages, and of notices that scripts are needed, at the beginning of a sentence and anywhere in it (fixed values).
