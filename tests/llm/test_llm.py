@@ -4,7 +4,9 @@ import itertools
 import os
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,6 +414,18 @@ def test_history(spark, monkeypatch):
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) < 4
 
 
+def test_segments_have_small_row_groups(spark):
+    """A reader decodes a row group's blocks together; with all blocks of a file in one, executors ran out of memory."""
+    old, new = arrivals_fixture()
+    history = batch_dedup.History(spark)
+    blocks = batch_dedup.blocks_of(batch_dedup.old_records(docs(spark, old)).repartition(20), keep_all=False)
+    history._append(history._write(blocks.coalesce(1)))
+    groups = [f.metadata.row_group(i).num_rows for p in Path(history.segments[0].path).glob("*.parquet") for f in [pq.ParquetFile(p)] for i in range(f.num_row_groups)]
+    assert sum(groups) > 10 and max(groups) <= 4
+    got = {x.ord for x in history.accept(batch_dedup.new_records(spark.createDataFrame(new, "arrival_id long, text string"))).collect()}
+    assert got == brute_repeats(old, new)
+
+
 # --- problem 7 -------------------------------------------------------------------------------
 
 
